@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup
-
-QUERIES = {"op1_line_dedup": line_dedup.query}
+from tidemark.llm import bpe, line_dedup, ngram_join, token_store
+
+QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op2_ngram_join": ngram_join.query,
+    "op5_bpe": bpe.query,
+    "op10_token_files": token_store.query,
+}
 
 ORACLES = {"op1_line_dedup": line_dedup.SQL}
