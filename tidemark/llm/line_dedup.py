@@ -131,16 +131,18 @@ class LineRuns:
         return lines.join(self.totals().select("key").hint("merge"), "key", "left_anti")
 
 
-def drop_lines(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def drop_lines(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str, prefix: str = "") -> DataFrame:
     """All columns of ``df``, ``text_col`` without the lines in ``dropped``, and n_lines, n_dropped and kept_sha256.
 
+    The three get ``prefix``; columns of ``df`` with the same names are replaced.
     The text crosses one shuffle, to meet its own list of lines.
     """
-    columns = [c for c in df.columns if c not in ("n_lines", "n_dropped", "kept_sha256")]
+    added = [prefix + n for n in ("n_lines", "n_dropped", "kept_sha256")]
+    columns = [c for c in df.columns if c not in added]
     src = df.select(*columns)
-    keyed = _with_doc_key(src, id_col, text_col)
-    joined = keyed.join(dropped.withColumnsRenamed({"doc": "_doc", "keys": "_keys"}).hint("merge"), "_doc", "left").select(*columns, "_keys")
-    out = T.StructType([*src.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    keyed = with_doc_key(src, id_col, text_col)
+    joined = keyed.join(dropped.withColumnsRenamed({"doc": "__tm_doc", "keys": "__tm_keys"}).hint("merge"), "__tm_doc", "left").select(*columns, "__tm_keys")
+    out = T.StructType([*src.schema.fields, *(T.StructField(n, t) for n, t in zip(added, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
     schema, at = common.arrow_schema(out), columns.index(text_col)
 
     def rows(batch):
@@ -161,8 +163,9 @@ def drop_lines(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str) ->
     return common.map_arrow(joined, rows, out)
 
 
-def _with_doc_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    out = T.StructType([*df.schema.fields, T.StructField("_doc", T.BinaryType())])
+def with_doc_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with ``__tm_doc``, the key of each row's document."""
+    out = T.StructType([*df.schema.fields, T.StructField("__tm_doc", T.BinaryType())])
     schema, at = common.arrow_schema(out), df.columns.index(text_col)
     id_at = df.columns.index(id_col)
 
@@ -173,21 +176,21 @@ def _with_doc_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.map_arrow(df, rows, out)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, batches: int = 4, runs: LineRuns | None = None) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, batches: int = 4, runs: LineRuns | None = None, prefix: str = "") -> DataFrame:
     """Drops every line whose key at least ``min_docs`` documents hold; see the module for keys and defined cases.
 
     ``df`` is dealt into ``batches`` batches by content; each adds its run to
     ``runs`` (a fresh store by default) before the documents are probed.
     ``keep_first`` leaves such a line in its first document. An empty table
     gives an empty result. Returns the columns of ``df`` with the new text,
-    and n_lines, n_dropped, kept_sha256.
+    and n_lines, n_dropped, kept_sha256 with ``prefix``.
     """
     spark = df.sparkSession
     lines = common.written(doc_lines(df, id_col, text_col, min_chars, batches), "lines", "batch")
     runs = runs or LineRuns(spark)
     for batch in range(batches):
         runs.add(batch, lines.where(F.col("batch") == batch))
-    return drop_lines(df, runs.dropped(lines, min_docs, keep_first), id_col, text_col)
+    return drop_lines(df, runs.dropped(lines, min_docs, keep_first), id_col, text_col, prefix)
 
 
 def dedup_batch(runs: LineRuns, batch: int, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.llm import common, components, shingles
-from tidemark.llm.line_dedup import doc_key
+from tidemark.llm.line_dedup import doc_key, with_doc_key
 
 TREES, DEPTH, MIN_DEPTH = 32, 8, 5
 BLOCK = 256
@@ -236,12 +236,10 @@ def id_of(key: str) -> F.Column:
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of ``df`` without near copies: of each connected class only its first document, once."""
-    from tidemark.llm.line_dedup import _with_doc_key
-
-    first = near_duplicates(df, id_col, text_col, threshold).where("doc = root").select(F.col("doc").alias("_doc")).distinct()
-    rows = _with_doc_key(df, id_col, text_col).hint("merge").join(first, "_doc", "left_semi")
-    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_doc").orderBy("_doc")))
-    return once.where("_n = 1").select(*df.columns)
+    first = near_duplicates(df, id_col, text_col, threshold).where("doc = root").select(F.col("doc").alias("__tm_doc")).distinct()
+    rows = with_doc_key(df, id_col, text_col).hint("merge").join(first, "__tm_doc", "left_semi")
+    once = rows.withColumn("__tm_n", F.row_number().over(Window.partitionBy("__tm_doc").orderBy("__tm_doc")))
+    return once.where("__tm_n = 1").select(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
