@@ -49,6 +49,11 @@ def event_bars(spark, sf_dir, minutes=60):
     return bars.bars_from_events(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value"), minutes)
 
 
+def dated(df, *columns):
+    """Dates as ISO text."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns or ("day_of",)})
+
+
 def r6(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -130,17 +135,17 @@ def positions(spark, sf_dir):
 
 
 MONEY = ("entry_price", "exit_price", "gross_pnl", "costs", "net_pnl")
-TRADE_COLUMNS = f"trade_id, entry_time, exit_time, direction, {o.rounded(MONEY)}, quantity, holding_periods, closed_at_end"
+TRADE_COLUMNS = f"trade_id, entry_time, exit_time, direction, {', '.join(MONEY)}, quantity, holding_periods, closed_at_end"
 
 
 @query("trades_ideal", o.with_(o.bars(60), o.signals("bars", KEY, CROSS), o.trades("sig", KEY, 0.0)) + f" SELECT instrument, {TRADE_COLUMNS} FROM tr")
 def trades_ideal(spark, sf_dir):
-    return r6(backtest.run_trades(crossover_rows(spark, sf_dir), IDEAL), *MONEY)
+    return backtest.run_trades(crossover_rows(spark, sf_dir), IDEAL)
 
 
 @query("trades_costed", o.with_(*TRADED) + f" SELECT instrument, {TRADE_COLUMNS} FROM tr")
 def trades_costed(spark, sf_dir):
-    return r6(backtest.run_trades(crossover_rows(spark, sf_dir), NORMAL), *MONEY)
+    return backtest.run_trades(crossover_rows(spark, sf_dir), NORMAL)
 
 
 def curve(spark, sf_dir):
@@ -160,9 +165,9 @@ def drawdown(spark, sf_dir):
     return rows.select(KEY, "timestamp", F.round("peak", 4).alias("peak"), F.round("dd_value", 4).alias("dd_value"), F.round("dd_pct", 6).alias("dd_pct"), "dd_bars")
 
 
-@query("daily_returns", o.with_(*CURVE, o.daily("eq", KEY)) + " SELECT instrument, day_of, round(equity, 4) AS equity, round(daily_return, 8) AS daily_return FROM dr")
+@query("daily_returns", o.with_(*CURVE, o.daily("eq", KEY)) + " SELECT instrument, day_of::VARCHAR AS day_of, round(equity, 4) AS equity, round(daily_return, 8) AS daily_return FROM dr")
 def daily_returns(spark, sf_dir):
-    return metrics.daily_returns(curve(spark, sf_dir)[1]).withColumns({"equity": F.round("equity", 4), "daily_return": F.round("daily_return", 8)})
+    return dated(metrics.daily_returns(curve(spark, sf_dir)[1])).withColumns({"equity": F.round("equity", 4), "daily_return": F.round("daily_return", 8)})
 
 
 SUMS = ("win_rate", "gross_pnl", "net_pnl", "avg_trade_pnl", "avg_winner", "avg_loser", "profit_factor", "avg_holding_periods", "max_drawdown_pct", "max_drawdown_value", "total_return_pct", "sharpe", "sortino", "calmar")
@@ -240,10 +245,10 @@ def session_hours(spark, sf_dir):
 STEPS = o.with_(*MINUTES)
 
 
-@query("gap_check", STEPS + " SELECT instrument, timestamp::DATE AS day_of, count(*) FILTER (WHERE epoch(timestamp) - epoch(t0) <> 60) AS gaps, max(epoch(timestamp) - epoch(t0))::BIGINT AS longest FROM m GROUP BY 1, 2")
+@query("gap_check", STEPS + " SELECT instrument, timestamp::DATE::VARCHAR AS day_of, count(*) FILTER (WHERE epoch(timestamp) - epoch(t0) <> 60) AS gaps, max(epoch(timestamp) - epoch(t0))::BIGINT AS longest FROM m GROUP BY 1, 2")
 def gap_check(spark, sf_dir):
     rows = quality.steps(minute_bars(spark, sf_dir), (KEY,))
-    return rows.groupBy(KEY, F.to_date("timestamp").alias("day_of")).agg(F.count_if(F.coalesce(F.col("step_seconds") != 60, F.lit(False))).alias("gaps"), F.max("step_seconds").alias("longest"))
+    return rows.groupBy(KEY, F.to_date("timestamp").cast("string").alias("day_of")).agg(F.count_if(F.coalesce(F.col("step_seconds") != 60, F.lit(False))).alias("gaps"), F.max("step_seconds").alias("longest"))
 
 
 @query("jump_check", STEPS + " SELECT instrument, timestamp, open_interest, round(abs(open_interest - oi0) / greatest(oi0, 1.0), 6) AS oi_change FROM m WHERE abs(open_interest - oi0) / greatest(oi0, 1.0) > 0.25")
@@ -252,9 +257,9 @@ def jump_check(spark, sf_dir):
     return rows.select(KEY, "timestamp", "open_interest", F.round("oi_change", 6).alias("oi_change"))
 
 
-@query("daily_bar_counts", o.with_(o.bars(1)) + " SELECT instrument, timestamp::DATE AS day_of, count(*) AS bars FROM bars GROUP BY 1, 2")
+@query("daily_bar_counts", o.with_(o.bars(1)) + " SELECT instrument, timestamp::DATE::VARCHAR AS day_of, count(*) AS bars FROM bars GROUP BY 1, 2")
 def daily_bar_counts(spark, sf_dir):
-    return quality.daily_counts(event_bars(spark, sf_dir, 1))
+    return dated(quality.daily_counts(event_bars(spark, sf_dir, 1)))
 
 
 # ---- regimes and research ----
@@ -262,9 +267,9 @@ def daily_bar_counts(spark, sf_dir):
 REGIMES = (*TRADED, o.regimes("bars", HIGH, LOW))
 
 
-@query("regime_labels", o.with_(o.bars(60), o.regimes("bars", HIGH, LOW)) + " SELECT instrument, day_of, day_high, day_low, day_close, round(range_pct, 6) AS range_pct, regime FROM rg")
+@query("regime_labels", o.with_(o.bars(60), o.regimes("bars", HIGH, LOW)) + " SELECT instrument, day_of::VARCHAR AS day_of, day_high, day_low, day_close, round(range_pct, 6) AS range_pct, regime FROM rg")
 def regime_labels(spark, sf_dir):
-    return r6(regime.day_regimes(event_bars(spark, sf_dir), high=HIGH, low=LOW), "range_pct")
+    return dated(r6(regime.day_regimes(event_bars(spark, sf_dir), high=HIGH, low=LOW), "range_pct"))
 
 
 @query("regime_summary", o.with_(*REGIMES, """w AS (SELECT t.instrument, regime, net_pnl, gross_pnl FROM tr t JOIN rg ON t.instrument = rg.instrument AND t.entry_time::DATE = rg.day_of),
@@ -389,15 +394,15 @@ def contract_pick(spark, sf_dir):
     return contracts.earliest_on_or_after(rows, ("o_custkey",), "o_orderdate", F.lit(AS_OF).cast("timestamp_ntz"), ("o_orderkey",))
 
 
-@query("last_thursday", "WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders) SELECT month, (last_day(month) - ((isodow(last_day(month)) - 4 + 7) % 7)::INT)::DATE AS last_thursday FROM m")
+@query("last_thursday", "WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders) SELECT month::VARCHAR AS month, (last_day(month) - ((isodow(last_day(month)) - 4 + 7) % 7)::INT)::DATE::VARCHAR AS last_thursday FROM m")
 def last_thursday(spark, sf_dir):
     months = table(spark, sf_dir, "orders").select(F.to_date(F.date_trunc("month", F.col("o_orderdate"))).alias("month")).distinct()
-    return months.select("month", calendar.last_thursday(F.col("month")).alias("last_thursday"))
+    return dated(months.select("month", calendar.last_thursday(F.col("month")).alias("last_thursday")), "month", "last_thursday")
 
 
-@query("daily_volume", o.with_(o.bars(60)) + " SELECT instrument, timestamp::DATE AS day_of, count(*) AS bars, round(avg(volume), 6) AS avg_volume, sum(volume)::BIGINT AS volume FROM bars GROUP BY 1, 2")
+@query("daily_volume", o.with_(o.bars(60)) + " SELECT instrument, timestamp::DATE::VARCHAR AS day_of, count(*) AS bars, round(avg(volume), 6) AS avg_volume, sum(volume)::BIGINT AS volume FROM bars GROUP BY 1, 2")
 def daily_volume(spark, sf_dir):
-    return event_bars(spark, sf_dir).groupBy(KEY, F.to_date("timestamp").alias("day_of")).agg(F.count("*").alias("bars"), F.round(F.avg("volume"), 6).alias("avg_volume"), F.sum("volume").alias("volume"))
+    return event_bars(spark, sf_dir).groupBy(KEY, F.to_date("timestamp").cast("string").alias("day_of")).agg(F.count("*").alias("bars"), F.round(F.avg("volume"), 6).alias("avg_volume"), F.sum("volume").alias("volume"))
 
 
 @query("weekly_range_stats", o.with_(o.bars(60)) + " SELECT instrument, date_trunc('week', timestamp)::TIMESTAMP AS week, round(avg(high - low), 6) AS avg_range, round(coalesce(stddev_samp(high - low), 0), 6) AS sd_range FROM bars GROUP BY 1, 2")
@@ -420,19 +425,19 @@ def bars_page(spark, sf_dir):
     return page(event_bars(spark, sf_dir), 20, 40, (KEY,))
 
 
-@query("upsert", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_quantity END AS l_quantity FROM lineitem")
+@query("upsert", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 0.0::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders")
 def upsert(spark, sf_dir):
-    """Lines with the returned ones replaced."""
-    old = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    new = old.where("l_returnflag = 'R'").withColumn("l_quantity", F.lit(0.0))
-    return research.upsert(old, new, ("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "l_quantity")
+    """Orders with the finished ones replaced."""
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = old.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0))
+    return research.upsert(old, new, ("o_orderkey",))
 
 
-@query("risk_checks", o.with_(*TRADED) + " SELECT instrument, entry_time::DATE AS day_of, count(*) AS trades, round(sum(net_pnl), 4) AS net_pnl, count(*) > 20 AS too_many, sum(net_pnl) < -50000 AS loss_limit FROM tr GROUP BY 1, 2")
+@query("risk_checks", o.with_(*TRADED) + " SELECT instrument, entry_time::DATE::VARCHAR AS day_of, count(*) AS trades, round(sum(net_pnl), 4) AS net_pnl, count(*) > 20 AS too_many, sum(net_pnl) < -50000 AS loss_limit FROM tr GROUP BY 1, 2")
 def risk_checks(spark, sf_dir):
     from tidemark.operators.risk import daily_limits
 
-    return daily_limits(backtest.run_trades(crossover_rows(spark, sf_dir), NORMAL)).withColumn("net_pnl", F.round("net_pnl", 4))
+    return dated(daily_limits(backtest.run_trades(crossover_rows(spark, sf_dir), NORMAL))).withColumn("net_pnl", F.round("net_pnl", 4))
 
 
 def flagship(spark, sf_dir):
