@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,26 @@ ORC = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.cr
 
 CHUNK = re.compile(r"\s*\S+|\s+")
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python but not to the pattern
-LONGEST_KEPT, MOST_KEPT, BATCH_CHARS, JOINED = 48, 300_000, 1_000_000, 5_000
+LONGEST_KEPT, MOST_KEPT, BATCH_CHARS, JOINED = 48, 400_000, 3_000_000, 5_000
+LATIN, MARKS = "\u0250", ".,;:!?"
+
+
+def _alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow U+0100 in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+ALPHABET = _alphabet()
 
 
 class ChunkEncoder:
-    """A tokenizer of the tokenizers library behind a cache of chunks."""
+    """A tokenizer of the tokenizers library behind a cache of chunks in two generations.
+
+    When the young generation is full it becomes the old one; a chunk found in
+    the old one moves back, so frequent chunks stay and rare ones go.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,11 +65,13 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # the byte-level alphabet has a character for each byte
             self.n_bytes[i] = len(token)
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -64,20 +82,44 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         parts = [self.chunks(t) for t in texts]
+        missing = set().union(*parts).difference(self.kept)
+        if missing:
+            self._learn(missing)
+        out = [b"".join(map(self.kept.__getitem__, part)) for part in parts]
+        for chunk in missing:
+            if len(chunk) > LONGEST_KEPT:
+                del self.kept[chunk]
         if len(self.kept) > MOST_KEPT:
-            self.kept.clear()
-        kept = self.kept
-        new = list({c for part in parts for c in part if c not in kept})
-        inner = [c for c in new if c[0].isspace() and not c[-1].isspace() and not any(o in c for o in ODD)] if len(new) > 1 else []
+            self.before, self.kept = self.kept, {}
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        """Brings chunks into the young generation: from the one before, or by encoding them.
+
+        A space and letters are one match of the pattern, and so are marks
+        behind them; matches go to the library's BPE model as they are. Other
+        chunks go through its whole encoder.
+        """
+        kept, before = self.kept, self.before
+        inner, single = [], []
+        for chunk in missing:
+            if (ids := before.get(chunk)) is not None:
+                kept[chunk] = ids
+            elif (word := chunk.rstrip(MARKS))[:1] == " " and word[1:].isalpha() and (word.isascii() or max(word) < LATIN):
+                ids = kept.get(word) or self._match(word)
+                kept[chunk] = ids if word == chunk else ids + self._match(chunk[len(word) :])
+            elif chunk[0].isspace() and not chunk[-1].isspace() and not any(o in chunk for o in ODD):
+                inner.append(chunk)
+            else:
+                single.append(chunk)
         self._encode_joined(inner)
-        single = [c for c in new if c not in kept]
         for chunk, found in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
             kept[chunk] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join(map(kept.__getitem__, part)) for part in parts]
-        for chunk in new:
-            if len(chunk) > LONGEST_KEPT:
-                del kept[chunk]
-        return out
+
+    def _match(self, match: str) -> bytes:
+        """The ids of one match of the pattern: a space and Latin letters, or marks."""
+        mapped = match if match.isascii() else match.encode().decode("latin-1").translate(ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(mapped.replace(" ", "\u0120"))]).tobytes()
 
     def _encode_joined(self, chunks: list[str]) -> None:
         """Encodes chunks from white space to a non-space as one text; each one's bytes tell where its ids end."""
