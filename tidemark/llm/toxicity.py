@@ -48,7 +48,7 @@ from tidemark.llm import common
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
-KAPPA, Z, DRIFT, E_MAX, THRESHOLD = 2.0, 3.0, 0.5, 1e-2, 0.7
+KAPPA, Z, DRIFT, E_MAX, THRESHOLD = 4.0, 4.0, 0.5, 1e-2, 0.7
 LIMITS = (-3.0, 8.0)
 MIN_DOCS = 3
 MAX_LABELLED = 40_000
