@@ -2,12 +2,16 @@ import random
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import common, token_store
+from tidemark.llm import chunk_table, common, token_store
+from tidemark.llm.chunk_table import ChunkTable
 
 LIBRARY = Tokenizer.from_file(token_store.default_tokenizer())
 LIBRARY.encode_special_tokens = True
+SMALL = ChunkTable(token_store.default_tokenizer(), most=40, bits=7)
 
 
 def ids_of(text):
@@ -56,8 +60,24 @@ def test_empty_table(docs, spark):
     assert token_store.checksums(token_store.read_tokens(spark, path)).count() == 0
 
 
-def test_cache_gives_the_same_ids_after_it_is_cleared(monkeypatch):
-    monkeypatch.setattr(token_store, "MOST_KEPT", 3)
-    encoder = token_store.ChunkEncoder(token_store.default_tokenizer())
-    for text in ("one two three four", "two five", "", "one  \n two "):
-        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids_of(text)
+def encoded(table, texts):
+    data = [t.encode() for t in texts]
+    ids, sizes = table.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in data]))))
+    return ids.tolist(), sizes.tolist()
+
+
+PIECES = ["a", "the", " ", "  ", "\n", "\n\n", "\t", "\x1c", "\r\n", "'s", "'", "ll", "234", "é", "中", "!", "...", ",", ";", "ß", "😀", "\x85", "\u00a0", "\u2003", "\u3000", "“", "’", "ABC", "ª", "ǅ", " Wörter.", " x?!", "³", "ʼ", "Mr.X", "\nThe"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=20).map("".join), max_size=5))
+def test_chunk_table_equals_the_library(texts):
+    assert encoded(SMALL, texts) == ([i for t in texts for i in ids_of(t)], [len(ids_of(t)) for t in texts])
+
+
+def test_collisions_cannot_give_wrong_ids(monkeypatch):
+    monkeypatch.setattr(chunk_table, "mix", lambda x: x & np.uint64(3) | np.uint64(1))
+    texts = ["one two three", "four five one", " six, seven"] * 3
+    table = ChunkTable(token_store.default_tokenizer(), bits=4)
+    for _ in range(2):
+        assert encoded(table, texts) == ([i for t in texts for i in ids_of(t)], [len(ids_of(t)) for t in texts])
