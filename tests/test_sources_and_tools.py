@@ -171,3 +171,32 @@ def test_download_with_a_given_client(spark, tmp_path):
 @pytest.mark.parametrize(("metric", "number", "text"), [("win_rate", 0.123, "12.3%"), ("net_pnl", -18672.4, "-18,672"), ("sharpe", 0.954, "0.95"), ("sharpe", None, "-")])
 def test_shown(metric, number, text):
     assert reports.shown(metric, number) == text
+
+
+def test_command_line_writes_results(spark, tools, tmp_path):
+    from tidemark.__main__ import run
+    from tidemark.plans import outputs
+
+    roots = ["--raw", tools.raw_root, "--processed", tools.processed_root, "--results", str(tmp_path), "--timeframes", "15"]
+    counts = run(spark, ["signals", "2026-07", *roots, "--mode", "crossover"])
+    assert counts["15m"]["bars"] == 575 and counts["15m"]["BUY"] > 0
+    found = run(spark, ["backtest", "2026-07", *roots, "--mode", "crossover", "--slippage", "normal"])["15m"][0]
+    assert spark.read.parquet(f"{tmp_path}/2026-07/trades_15m").count() == found["total_trades"]
+    assert json.loads(outputs.read_text(spark, f"{tmp_path}/2026-07/metrics_15m.json"))[0]["net_pnl"] == found["net_pnl"]
+    table = run(spark, ["baseline", "2026-07", *roots])
+    assert set(table) == {"A", "B", "C"} and outputs.read_text(spark, f"{tmp_path}/2026-07/baseline_report.md").startswith("# Baseline")
+    small = {"fast_ema": (5,), "slow_ema": (15,), "angle_threshold": (20.0,), "angle_lookback": (1,)}
+    outputs.write_research(spark, tools, str(tmp_path), "2026-07", ["15m"], small)
+    again = outputs.write_research(spark, tools, str(tmp_path), "2026-07", ["5m"], small)
+    assert set(again["timeframes"]) == {"5m", "15m"} and outputs.read_text(spark, f"{tmp_path}/none") is None
+
+
+def test_command_line_downloads(spark, tmp_path):
+    from tidemark.__main__ import run
+
+    got = run(spark, ["download", "2026-07", "--raw", str(tmp_path / "raw"), "--client", "tests.test_sources_and_tools:client", "--contract", json.dumps({**CONTRACT, "expiry": "2026-07-30"})])
+    assert got["bars"] == 1
+
+
+def client(security_id, first, last):
+    return fetch_rows({"from": first})
