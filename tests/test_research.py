@@ -113,3 +113,29 @@ def test_contract_policies(spark):
     assert contracts.expiring_in_month(futures, 2026, 7).first().instrument_key == "k1"
     assert contracts.expiring_in_month(futures, 2026, 10).count() == 0
     assert contracts.active_on(futures, dt.date(2026, 7, 31)).first().instrument_key == "k2"
+
+
+def test_expired_and_found_contracts(spark):
+    master = spark.createDataFrame([("k1", dt.date(2026, 7, 30)), ("k2", dt.date(2026, 8, 25))], "instrument_key string, expiry date").selectExpr("*", "'NIFTY' AS underlying_symbol", "'FUT' AS instrument_type")
+    assert [r.instrument_key for r in contracts.expired(master, dt.date(2026, 8, 1)).collect()] == ["k1"]
+    assert contracts.find_future(master, dt.date(2026, 8, 25)).first().instrument_key == "k2"
+    assert contracts.find_future(master, dt.date(2026, 8, 26)).count() == 0
+
+
+def test_registry_and_months(spark):
+    df = closes(spark, wave())
+    configs = research.baseline_variants()
+    rows = signals.signals_for_many(df, configs, name="experiment_id")
+    trades, _, found = backtest.run_backtest(rows, by=["experiment_id", "instrument"])
+    table = research.registry(found, configs, "d1").collect()
+    assert {r.config_hash for r in table} == {c.digest() for _, c in configs} and {r.dataset for r in table} == {"d1"}
+    assert {r.month for r in research.monthly_performance(trades, ("experiment_id",)).collect()} == {"2026-07"}
+
+
+def test_day_checks(spark):
+    from tidemark.operators import quality
+
+    rows = [("A", dt.datetime(2026, 7, d, 10), p, p, p, p, v, 1) for d, p, v in ((1, 100.0, 10), (2, 101.0, 10), (3, 120.0, 100), (7, 120.0, 10))]
+    got = {r.day_of.day: r for r in quality.day_checks(candles(spark, rows), share=2.0).collect()}
+    assert [got[d].open_gap for d in (1, 2, 3, 7)] == [False, False, True, False]
+    assert got[3].odd_volume and got[7].missing_weekdays == 1 and got[2].missing_weekdays == 0

@@ -62,3 +62,11 @@ def test_stream_signals_equal_batch_signals(spark, tmp_path):
         assert g.signal_type == r.signal_type and (r.ema_slow is None or abs(g.ema_slow - r.ema_slow) < 1e-9)
     held = backtest.positions(signals.generate_signals(df, config, keep=("open", "close"))).collect()
     assert all(got[r.instrument, r.timestamp].position == r.position for r in held)
+
+
+def test_messages_round_trip_and_kafka_options(spark):
+    rows = spark.createDataFrame([("A", 10.5, 3)], "instrument string, price double, quantity long")
+    back = streaming.parse_ticks(streaming.envelope(rows, "tick", "test")).first()
+    assert (back.instrument, back.price, back.quantity) == ("A", 10.5, 3)
+    assert streaming.kafka_options("h:1", streaming.topics()["ticks"], 5)["startingTimestamp"] == "5"
+    assert streaming.kafka_options("h:1", "t")["startingOffsets"] == "latest"

@@ -37,3 +37,13 @@ def earliest_on_or_after(rows: DataFrame, key: Sequence[str], date_col: str, day
     rest = [c for c in rows.columns if c not in key]
     first = F.min_by(F.struct(*rest), F.struct(date_col, *order))
     return rows.where(F.col(date_col) >= day).groupBy(*key).agg(first.alias("__r")).select(*key, "__r.*")
+
+
+def expired(contracts: DataFrame, day: dt.date, expiry: str = "expiry") -> DataFrame:
+    """Contracts that expired before ``day``, the latest first."""
+    return contracts.where(F.col(expiry) < F.lit(day)).orderBy(F.desc(expiry))
+
+
+def find_future(contracts: DataFrame, day: dt.date, underlying: str = "NIFTY", expiry: str = "expiry") -> DataFrame:
+    """The future on ``underlying`` that expires on ``day``, if there is one."""
+    return index_futures(contracts, underlying).where(F.col(expiry) == F.lit(day)).orderBy(*[c for c in ("security_id", "instrument_key", "trading_symbol") if c in contracts.columns]).limit(1)

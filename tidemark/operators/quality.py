@@ -90,3 +90,20 @@ def validate_bars(bars: DataFrame, interval_minutes: int = 1, by: Sequence[str]
     states = F.transform("checks", lambda c: c["status"])
     overall = F.when(F.array_contains(states, "fail"), "fail").when(F.array_contains(states, "warn"), "pass_with_warnings").otherwise("pass")
     return table.withColumn("overall", overall).select(*keys, "overall", F.explode("checks").alias("c")).select(*keys, "c.*", "overall")
+
+
+def day_checks(bars: DataFrame, by: Sequence[str] = ("instrument",), share: float = 3.0, gap: float = 0.05) -> DataFrame:
+    """Further signs for each day: volume over ``share`` times the series' mean day or under its inverse, an open
+    more than ``gap`` from the last close, weekdays missing since the day before, and values that are not numbers."""
+    prices = ("open", "high", "low", "close")
+    odd = F.lit(False)
+    for c in prices:
+        odd = odd | F.isnan(c)
+    days = bars.groupBy(*by, F.to_date("timestamp").alias("day_of")).agg(F.sum("volume").alias("volume"), F.min_by("open", "timestamp").alias("day_open"), F.max_by("close", "timestamp").alias("day_close"), F.count_if(odd).alias("not_numbers"))
+    w = Window.partitionBy(*by).orderBy("day_of")
+    mean = F.avg("volume").over(Window.partitionBy(*by))
+    before = F.lag("day_of").over(w)
+    inside = F.sequence(F.date_add(before, 1), F.date_sub(F.col("day_of"), 1))
+    skipped = F.when(F.datediff("day_of", before) > 1, F.size(F.filter(inside, lambda d: F.weekday(d) < 5))).otherwise(0)
+    change = F.abs(F.try_divide(F.col("day_open") - F.lag("day_close").over(w), F.lag("day_close").over(w)))
+    return days.select(*by, "day_of", "volume", ((F.col("volume") > mean * share) | (F.col("volume") < mean / share)).alias("odd_volume"), F.coalesce(change > gap, F.lit(False)).alias("open_gap"), skipped.cast("long").alias("missing_weekdays"), "not_numbers")

@@ -133,3 +133,15 @@ def matrix(metrics: DataFrame, value: str, timeframes: Sequence[str], name: str
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those that share their keys."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+
+
+def monthly_performance(trades: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """Trades, net and winning share by month of exit."""
+    month = F.date_format("exit_time", "yyyy-MM").alias("month")
+    return trades.groupBy(*by, month).agg(F.count("*").alias("trades"), F.sum("net_pnl").alias("net_pnl"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("win_rate"))
+
+
+def registry(metrics: DataFrame, configs: Iterable[tuple[str, StrategyConfig]], dataset: str, name: str = "experiment_id", engine: str = "tidemark") -> DataFrame:
+    """Experiments with the digest of their configuration, the dataset's version and their metrics, as a table to append to."""
+    digests = F.create_map(*[F.lit(x) for i, c in configs for x in (i, c.digest())])
+    return metrics.withColumns({"config_hash": F.element_at(digests, F.col(name)), "dataset": F.lit(dataset), "engine": F.lit(engine)})

@@ -433,6 +433,18 @@ def upsert(spark, sf_dir):
     return research.upsert(old, new, ("o_orderkey",))
 
 
+@query("monthly_performance", o.with_(*TRADED) + " SELECT instrument, strftime(exit_time, '%Y-%m') AS month, count(*) AS trades, round(sum(net_pnl), 4) AS net_pnl, round(avg((net_pnl > 0)::INT), 6) AS win_rate FROM tr GROUP BY 1, 2")
+def monthly_performance(spark, sf_dir):
+    found = research.monthly_performance(backtest.run_trades(crossover_rows(spark, sf_dir), NORMAL))
+    return found.withColumns({"net_pnl": F.round("net_pnl", 4), "win_rate": F.round("win_rate", 6)})
+
+
+@query("day_checks", o.with_(o.bars(60), """d AS (SELECT instrument, timestamp::DATE AS day_of, sum(volume)::BIGINT AS volume, arg_min(open, timestamp) AS o, arg_max(close, timestamp) AS c, count(*) FILTER (WHERE isnan(open) OR isnan(close) OR isnan(high) OR isnan(low)) AS not_numbers FROM bars GROUP BY 1, 2),
+w AS (SELECT *, avg(volume) OVER (PARTITION BY instrument) AS mean, lag(c) OVER (PARTITION BY instrument ORDER BY day_of) AS c0, lag(day_of) OVER (PARTITION BY instrument ORDER BY day_of) AS d0 FROM d)""") + " SELECT instrument, day_of::VARCHAR AS day_of, volume, volume > mean * 1.5 OR volume < mean / 1.5 AS odd_volume, coalesce(abs((o - c0) / nullif(c0, 0)) > 0.5, FALSE) AS open_gap, coalesce(len(list_filter(range(1, datediff('day', d0, day_of)), lambda i: isodow(d0 + i::INT) < 6)), 0)::BIGINT AS missing_weekdays, not_numbers FROM w")
+def day_checks(spark, sf_dir):
+    return dated(quality.day_checks(event_bars(spark, sf_dir), share=1.5, gap=0.5))
+
+
 @query("risk_checks", o.with_(*TRADED) + " SELECT instrument, entry_time::DATE::VARCHAR AS day_of, count(*) AS trades, round(sum(net_pnl), 4) AS net_pnl, count(*) > 20 AS too_many, sum(net_pnl) < -50000 AS loss_limit FROM tr GROUP BY 1, 2")
 def risk_checks(spark, sf_dir):
     from tidemark.operators.risk import daily_limits

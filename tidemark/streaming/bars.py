@@ -103,3 +103,20 @@ def replay(query, timeout: float = 120) -> None:
 
 def topics(prefix: str = "market", kinds: Sequence[str] = ("ticks", "candles", "signals", "orders")) -> dict[str, str]:
     return {k: f"{prefix}.{k}" for k in kinds}
+
+
+def kafka_options(servers: str, topic: str, since_ms: int | None = None) -> dict[str, str]:
+    """Reader options of a topic; ``since_ms`` replays from that time on."""
+    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "latest"}
+    if since_ms is not None:
+        del out["startingOffsets"]
+        out["startingTimestamp"] = str(since_ms)
+        out["startingOffsetsByTimestampStrategy"] = "latest"
+    return out
+
+
+def envelope(rows: DataFrame, event_type: str, source: str, key: str = "instrument") -> DataFrame:
+    """(key, value) messages: the columns of ``rows`` as payload in an envelope with an id made of its content."""
+    payload = F.to_json(F.struct(*rows.columns))
+    body = F.struct(F.sha2(payload, 256).alias("event_id"), F.lit(event_type).alias("event_type"), F.lit(source).alias("source"), F.current_timestamp().alias("ts"), payload.alias("payload"))
+    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(body).alias("value"))
