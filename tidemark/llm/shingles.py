@@ -19,7 +19,8 @@ UNBASE = pow(BASE, -1, 2**64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, ``n`` at least of each."""
     if len(_powers["up"]) < n:
         size = max(n, 2 * len(_powers["up"]), 1 << 16)
         for name, base in (("up", BASE), ("down", UNBASE)):
@@ -42,7 +43,7 @@ def words(text: str | None) -> list[str]:
 
 def _hashes(part: list[str], n: int) -> np.ndarray:
     data = np.frombuffer(" ".join(part).encode("utf-8", "surrogatepass"), np.uint8)
-    up, down = _power_table(len(data) + 1)
+    up, down = power_table(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])

@@ -8,10 +8,8 @@ them, follow doc_id: stripe statistics and row indexes prune a lookup to the
 stripes that can hold an id, Bloom filters on doc_id settle absent ids, and
 readers split files at stripes.
 
-Ids come from the tokenizers library. A place with a non-space on its left and
-white space on its right starts a new match of the byte-level pattern in any
-context, so a text is encoded chunk by chunk between such places and each
-worker keeps the ids of chunks it has seen.
+Ids come from the tokenizers library, behind a worker's table of known chunks
+(``chunk_table``).
 
 Defined cases: null text is empty and holds the end id alone; null doc_id
 comes first; documents with the same doc_id follow each other in order of
@@ -20,127 +18,21 @@ their text and are spread by its hash, so that one frequent id is not one task.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import common
+from tidemark.llm import chunk_table, common
 
 STORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("position", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 ORC = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 
-CHUNK = re.compile(r"\s*\S+|\s+")
-ODD = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python but not to the pattern
-LONGEST_KEPT, MOST_KEPT, BATCH_CHARS, JOINED = 48, 400_000, 3_000_000, 5_000
-LATIN, MARKS = "\u0250", ".,;:!?"
-
-
-def _alphabet() -> dict[int, str]:
-    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow U+0100 in order."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-ALPHABET = _alphabet()
-
-
-class ChunkEncoder:
-    """A tokenizer of the tokenizers library behind a cache of chunks in two generations.
-
-    When the young generation is full it becomes the old one; a chunk found in
-    the old one moves back, so frequent chunks stay and rare ones go.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():  # the byte-level alphabet has a character for each byte
-            self.n_bytes[i] = len(token)
-        self.kept: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if any(c in text for c in ODD):
-            return [text]
-        return CHUNK.findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        parts = [self.chunks(t) for t in texts]
-        missing = set().union(*parts).difference(self.kept)
-        if missing:
-            self._learn(missing)
-        out = [b"".join(map(self.kept.__getitem__, part)) for part in parts]
-        for chunk in missing:
-            if len(chunk) > LONGEST_KEPT:
-                del self.kept[chunk]
-        if len(self.kept) > MOST_KEPT:
-            self.before, self.kept = self.kept, {}
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        """Brings chunks into the young generation: from the one before, or by encoding them.
-
-        A space and letters are one match of the pattern, and so are marks
-        behind them; matches go to the library's BPE model as they are. Other
-        chunks go through its whole encoder.
-        """
-        kept, before = self.kept, self.before
-        inner, single = [], []
-        for chunk in missing:
-            if (ids := before.get(chunk)) is not None:
-                kept[chunk] = ids
-            elif (word := chunk.rstrip(MARKS))[:1] == " " and word[1:].isalpha() and (word.isascii() or max(word) < LATIN):
-                ids = kept.get(word) or self._match(word)
-                kept[chunk] = ids if word == chunk else ids + self._match(chunk[len(word) :])
-            elif chunk[0].isspace() and not chunk[-1].isspace() and not any(o in chunk for o in ODD):
-                inner.append(chunk)
-            else:
-                single.append(chunk)
-        self._encode_joined(inner)
-        for chunk, found in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            kept[chunk] = np.array(found.ids, "<u4").tobytes()
-
-    def _match(self, match: str) -> bytes:
-        """The ids of one match of the pattern: a space and Latin letters, or marks."""
-        mapped = match if match.isascii() else match.encode().decode("latin-1").translate(ALPHABET)
-        return array("I", [t.id for t in self.model.tokenize(mapped.replace(" ", "\u0120"))]).tobytes()
-
-    def _encode_joined(self, chunks: list[str]) -> None:
-        """Encodes chunks from white space to a non-space as one text; each one's bytes tell where its ids end."""
-        for low in range(0, len(chunks), JOINED):
-            some = chunks[low : low + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(c.encode()) for c in some])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            data, start = ids.tobytes(), 0
-            for chunk, cut in zip(some, cuts.tolist(), strict=True):
-                self.kept[chunk] = data[4 * start : 4 * cut]
-                start = cut
-
-
-_made: dict[str, ChunkEncoder] = {}
-
-
-def chunk_encoder(path: str) -> ChunkEncoder:
-    if path not in _made:
-        _made[path] = ChunkEncoder(path)
-    return _made[path]
+BATCH_BYTES = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -149,15 +41,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _slices(texts: list[str]):
-    low = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > BATCH_CHARS:
-            yield low, i
-            low, size = i, 0
-        size += len(text)
-    if low < len(texts):
-        yield low, len(texts)
+def byte_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, starts) of a string column without copying texts one by one; null is empty."""
+    column = pc.fill_null(column, "")
+    wide = pa.types.is_large_string(column.type)
+    _, starts, data = column.buffers()
+    starts = np.frombuffer(starts, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), starts
+
+
+def _slices(starts: np.ndarray):
+    """Ranges of texts of about BATCH_BYTES each; a longer text is alone."""
+    low, n = 0, len(starts) - 1
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + BATCH_BYTES, side="right")) - 1)
+        yield low, min(high, n)
+        low = high
 
 
 def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, options: dict | None = None) -> None:
@@ -168,18 +67,17 @@ def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = common.arrow_schema(STORED)
 
     def rows(batches):
-        encoder, position = chunk_encoder(tokenizer), 0
+        table, position = chunk_table.chunk_table(tokenizer), 0
         for batch in batches:
-            doc_ids, texts = batch.column(0), list(common.strings(batch.column(1)))
-            for low, high in _slices(texts):
-                ids = [np.frombuffer(x, "<u4") for x in encoder.encode(texts[low:high])]
-                sizes = np.array([len(x) + 1 for x in ids], np.int64)
+            data, starts = byte_texts(batch.column(1))
+            for low, high in _slices(starts):
+                own = starts[low : high + 1]
+                ids, sizes = table.encode(data[own[0] : own[-1]], own - own[0])
+                flat = np.insert(ids.astype(np.int32), np.cumsum(sizes), end_id)
+                sizes = sizes + 1
                 ends = np.cumsum(sizes)
-                flat = np.full(int(ends[-1]), end_id, np.int32)
-                for x, end in zip(ids, ends, strict=True):
-                    flat[end - 1 - len(x) : end - 1] = x
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32())).cast(schema.field("ids").type)
-                yield pa.record_batch([doc_ids[low:high], pa.array(position + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), lists], schema=schema)
+                yield pa.record_batch([batch.column(0)[low:high], pa.array(position + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), lists], schema=schema)
                 position += int(ends[-1])
 
     common.ship(df.sparkSession)
@@ -213,7 +111,8 @@ def checksums(stored: DataFrame) -> DataFrame:
 
     def rows(batch):
         lists = batch.column(3)
-        flat, ends = np.asarray(lists.values).astype("<u4", copy=False), np.asarray(lists.offsets)
+        ends = np.asarray(lists.offsets)
+        flat, ends = np.asarray(lists.flatten()).astype("<u4", copy=False), ends - ends[0]
         crcs = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ends[1:] - ends[:-1], pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
 
