@@ -118,3 +118,11 @@ def test_components(spark, seed):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     loops = {v for v in parent if v not in expected}
     assert {v: r for v, r in got.items()} == {v: r for v, r in expected.items() if v not in loops}
+
+
+def test_shorter_prefixes_give_the_same_links_once(docs):
+    rows = near_corpus(seed=11)
+    cols = [ngram_join.id_of("doc").alias("d"), ngram_join.id_of("root").alias("r"), ngram_join.id_of("node").alias("c"), "n_docs", "n_links", "n_linked_docs"]
+    shortest = {r.d: tuple(r)[1:] for r in ngram_join.near_duplicates(docs(*rows), recall=2.0).select(*cols).collect()}
+    assert shortest == brute(rows)
+    assert ngram_join.chance(0.8, ngram_join.MIN_DEPTH) > 0.9999 > ngram_join.chance(0.8, ngram_join.DEPTH) > 0.996
