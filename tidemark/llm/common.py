@@ -71,9 +71,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 _SHIPPED: set[str] = set()
 
 
+#: Spark's defaults for batches to Python workers, and what long texts call for.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each application."""
+    """Sends this package to the Python workers, once for each application.
+
+    Batches to workers are made smaller where the session has Spark's defaults:
+    a batch is held by the JVM and by the worker at once, several times over.
+    """
     sc = spark.sparkContext
+    for name, (default, smaller) in ARROW.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, smaller)
     if sc.applicationId not in _SHIPPED:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark_package.zip")
@@ -86,12 +97,20 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+SLICE_ROWS = 1000
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with a function that turns one batch into any number of batches."""
+    """``mapInArrow`` with a function that turns one batch into any number of batches.
+
+    It gets slices of SLICE_ROWS rows, so that what a worker holds beside
+    Spark's own batch stays small.
+    """
 
     def run(batches):
         for batch in batches:
-            yield from rows(batch)
+            for low in range(0, batch.num_rows, SLICE_ROWS):
+                yield from rows(batch.slice(low, SLICE_ROWS))
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

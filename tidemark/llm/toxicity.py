@@ -50,9 +50,9 @@ WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
 KAPPA, Z, DRIFT, E_MAX, THRESHOLD = 4.0, 4.0, 0.5, 1e-2, 0.7
 LIMITS = (-3.0, 8.0)
-MIN_DOCS = 3
+MIN_DOCS = 5
 MAX_LABELLED = 40_000
-FLUSH = 400_000
+FLUSH, REMEMBERED = 100_000, 50_000
 NO_SEGMENT, CERTAIN = -10.0, 40.0
 
 COUNTS = T.StructType([T.StructField("unit", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
@@ -82,17 +82,26 @@ def count_units(docs: DataFrame, allowed=None) -> DataFrame:
     def rows(batches):
         counts = (Counter(), Counter())
         only = None if allowed is None else allowed.value
+        units_of: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             for text, toxic in zip(common.strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                own = text_units(text)
-                if only is not None:
-                    own &= only
+                if only is None:
+                    own = text_units(text)
+                else:
+                    own = set()
+                    for word in set(WORD.findall(text.lower())):
+                        found = units_of.get(word)
+                        if found is None:
+                            if len(units_of) > REMEMBERED:
+                                units_of.clear()
+                            found = units_of[word] = tuple(u for u in units(word) if u in only)
+                        own.update(found)
                 mine = counts[1 if toxic else 0]
                 mine.update(own)
                 mine[""] += 1
-            if len(counts[0]) + len(counts[1]) > FLUSH:
-                yield flush(counts)
-                counts = (Counter(), Counter())
+                if len(mine) > FLUSH:
+                    yield flush(counts)
+                    counts = (Counter(), Counter())
         yield flush(counts)
 
     common.ship(docs.sparkSession)
@@ -140,7 +149,7 @@ class Model:
     def token(self, word: str) -> float:
         score = self.known.get(word)
         if score is None:
-            if len(self.known) > FLUSH:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             odds = next((self.odds[u] for u in reversed(units(word)) if u in self.odds), 0.0)
             score = self.known[word] = min(max(odds, LIMITS[0]), LIMITS[1]) - DRIFT
@@ -226,13 +235,22 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _sampled(known: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, those of least hash; a cut of the hash leaves few to sort."""
+    total = known.count()
+    order = F.xxhash64("_id", F.lit("sample"))
+    share = min(1.0, (most + 4 * most**0.5) / max(total, 1))
+    rows = known.withColumn("order", order)
+    rows = rows if share == 1.0 else rows.where(F.col("order") < int(-(2**63) + share * (2**64 - 1)))
+    return rows.orderBy("order", "_id").limit(most).drop("order")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Learns from the labels of rows that are not held out."""
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("toxic"))
-    order = F.xxhash64("_id", F.lit("sample"))
-    sample = known.withColumn("order", order).orderBy("order", "_id").limit(max_labelled).withColumn("half", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.drop("order")), "_id")
+    sample = _sampled(known, max_labelled).withColumn("half", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
     texts = common.written(texts.select("text", "toxic", "half"), "labelled-texts")
     counted = count_units(texts.where("half = 0").select("text", "toxic")).where(F.col("toxic") + F.col("clean") >= MIN_DOCS)
     train = {r.unit: (r.toxic, r.clean) for r in counted.toLocalIterator()}
@@ -241,6 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     allowed = spark.sparkContext.broadcast(set(train))
     everywhere = count_units(docs.select(F.col(text_col).alias("text"), F.lit(0).alias("toxic")), allowed)
     model = Model(log_odds(train, {r.unit: r.clean for r in everywhere.toLocalIterator()}))
+    allowed.unpersist()
     return _calibrated(model, texts.where("half = 1"))
 
 

@@ -50,7 +50,8 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
 
     def rows(batch):
         lists = batch.column(1)
-        flat, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+        offsets = np.asarray(lists.offsets)
+        flat, offsets = np.asarray(lists.flatten()), offsets - offsets[0]
         whole = np.floor(scale * flat)
         if len(whole) and np.abs(whole).max() >= 2**31:
             raise ValueError("a component is too large for 32 bits at this scale")
