@@ -47,8 +47,7 @@ def angle(column: str, keys: str, lookback: int, scale: float) -> str:
 def signals(source: str, keys: str, config: StrategyConfig, name: str = "sig") -> str:
     f, s = f"ema_{config.fast_ema}", f"ema_{config.slow_ema}"
     w = f"OVER (PARTITION BY {keys} ORDER BY timestamp)"
-    gate = "TRUE" if config.signal_mode == "crossover" else "angle {} " + num(config.angle_threshold)
-    buy, sell = ("TRUE", "TRUE") if gate == "TRUE" else (f"angle >= {num(config.angle_threshold)}", f"angle <= -({num(config.angle_threshold)})")
+    buy, sell = ("TRUE", "TRUE") if config.signal_mode == "crossover" else (f"angle >= {num(config.angle_threshold)}", f"angle <= -({num(config.angle_threshold)})")
     if config.signal_mode == "crossover_angle_and_trend":
         buy, sell = f"{buy} AND close > {s}", f"{sell} AND NOT (close > {s})"
     return f"""{emas(source, keys, (config.fast_ema, config.slow_ema), name + "_i")},
