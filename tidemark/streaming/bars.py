@@ -67,28 +67,30 @@ def stream_signals(bars: DataFrame, config: StrategyConfig = StrategyConfig()) -
     """
     import math
 
-    a, b = 2 / (config.fast_ema + 1), 2 / (config.slow_ema + 1)
+    # plain values: the workers need not have this package
+    fast_n, slow_n, lookback, scale, threshold, mode = config.fast_ema, config.slow_ema, config.angle_lookback, config.angle_scale, config.angle_threshold, config.signal_mode
+    a, b = 2 / (fast_n + 1), 2 / (slow_n + 1)
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, fast, slow, recent, side = state.get if state.exists else (0, 0.0, 0.0, [], 0)
         recent, rows = list(recent), []
         for bar in pd.concat(list(parts)).sort_values("timestamp").itertuples(index=False):
-            before = (fast, slow) if n >= config.slow_ema else None
+            before = (fast, slow) if n >= slow_n else None
             fast = bar.close if n == 0 else fast * (1 - a) + bar.close * a
             slow = bar.close if n == 0 else slow * (1 - b) + bar.close * b
             n += 1
-            old = recent[-config.angle_lookback] if len(recent) >= config.angle_lookback else None
-            angle = None if old is None else math.degrees(math.atan((fast - old) / old * config.angle_scale)) if old else math.copysign(90.0, fast)
-            if n >= config.fast_ema:
-                recent = (recent + [fast])[-config.angle_lookback :]
+            old = recent[-lookback] if len(recent) >= lookback else None
+            angle = None if old is None else math.degrees(math.atan((fast - old) / old * scale)) if old else math.copysign(90.0, fast)
+            if n >= fast_n:
+                recent = (recent + [fast])[-lookback :]
             up = before is not None and fast > slow and before[0] <= before[1]
             down = before is not None and fast < slow and before[0] >= before[1]
-            if config.signal_mode != "crossover":
-                up, down = up and angle is not None and angle >= config.angle_threshold, down and angle is not None and angle <= -config.angle_threshold
-            if config.signal_mode == "crossover_angle_and_trend":
+            if mode != "crossover":
+                up, down = up and angle is not None and angle >= threshold, down and angle is not None and angle <= -threshold
+            if mode == "crossover_angle_and_trend":
                 up, down = up and bar.close > slow, down and not bar.close > slow
             side = max(-1, min(1, side + int(up) - int(down)))
-            rows.append((key[0], bar.timestamp, "BUY" if up else "SELL" if down else "HOLD", fast if n >= config.fast_ema else None, slow if n >= config.slow_ema else None, angle, bar.close, side))
+            rows.append((key[0], bar.timestamp, "BUY" if up else "SELL" if down else "HOLD", fast if n >= fast_n else None, slow if n >= slow_n else None, angle, bar.close, side))
         state.update((n, fast, slow, recent, side))
         yield pd.DataFrame(rows, columns=["instrument", "timestamp", "signal_type", "ema_fast", "ema_slow", "angle", "candle_close", "position"])
 
