@@ -180,11 +180,11 @@ def verify_block(threshold: float, depth: int, tree: int, cross: bool, sides: np
 
 def verified(members: DataFrame, sets: DataFrame, depth: int, threshold: float) -> DataFrame:
     """FOUND rows of all pairs that share a prefix of ``depth``."""
-    rows = members.withColumn("key", F.xxhash64("tree", F.expr(f"substring(prefix, 1, {2 * depth})"))).drop("prefix", "bucket")
-    same = Window.partitionBy("key")
-    rows = rows.withColumn("n", F.count("*").over(same)).where("n > 1").withColumn("who", F.expr("bit_xor(xxhash64(set))").over(same))
+    rows = members.withColumn("key", F.xxhash64("tree", F.expr(f"substring(prefix, 1, {2 * depth})"))).select("key", "tree", "set")
+    buckets = rows.groupBy("key", "tree").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(set))").alias("who")).where("n > 1")
     # trees often hold the same bucket; the first tree's stands for all
-    rows = rows.withColumn("kept", F.min(F.struct("tree", "key")).over(Window.partitionBy("n", "who"))).where("kept.tree = tree AND kept.key = key")
+    kept = buckets.groupBy("n", "who").agg(F.min(F.struct("tree", "key")).alias("b")).select("n", "b.key")
+    rows = rows.join(common.written(kept, "buckets"), "key")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "tree", "set", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
