@@ -8,8 +8,9 @@ prior mean, R_c(u) = (y_c(u) + KAPPA * R_c(parent)) / (n_c * q(u) + KAPPA).
 The log-odds of a unit are log(R_toxic / R_clean); a unit is kept where they
 differ from zero by Z standard deviations, or clearly from its kept parent's,
 and a word takes the log-odds of the longest kept unit of its chain. So unseen
-words of a known stem count and chance words do not. y counts documents, so
-that a word repeated in one document is no stronger for it.
+words of a known stem count and chance words do not. y counts the distinct words
+of each document that hold the unit, so that a word repeated in one document is
+no stronger for it.
 
 *Segments.* A token scores its log-odds less DRIFT. A linear-time scan
 finds all maximal-scoring segments of a text.
@@ -52,7 +53,7 @@ KAPPA, Z, DRIFT, E_MAX, THRESHOLD = 4.0, 4.0, 0.5, 1e-2, 0.7
 LIMITS = (-3.0, 8.0)
 MIN_DOCS = 5
 MAX_LABELLED = 40_000
-FLUSH, REMEMBERED = 100_000, 50_000
+FLUSH, REMEMBERED = 150_000, 200_000
 NO_SEGMENT, CERTAIN = -10.0, 40.0
 
 COUNTS = T.StructType([T.StructField("unit", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
@@ -63,46 +64,37 @@ def units(word: str) -> list[str]:
     return [word[:k] + "*" for k in STEMS if k < len(word)] + [word]
 
 
-def text_units(text: str) -> set[str]:
-    return {u for w in set(WORD.findall(text.lower())) for u in units(w)}
-
-
 def count_units(docs: DataFrame, allowed=None) -> DataFrame:
-    """(unit, toxic, clean): documents of either class that hold the unit; the unit '' counts documents.
+    """(unit, toxic, clean): distinct words of documents of either class that hold the unit; the unit '' counts documents.
 
     ``docs`` is (text, toxic); a null label counts as clean. ``allowed`` is a
-    broadcast set to which the units are restricted.
+    broadcast set to which the units are restricted. Words are counted first
+    and taken apart into units when FLUSH different ones have gathered.
     """
     schema = common.arrow_schema(COUNTS)
 
-    def flush(counts):
+    def flush(words, n_docs, only):
+        counts = (Counter({"": n_docs[0]}), Counter({"": n_docs[1]}))
+        for mine, seen in zip(counts, words, strict=True):
+            for word, n in seen.items():
+                for unit in units(word):
+                    if only is None or unit in only:
+                        mine[unit] += n
         names = sorted({*counts[0], *counts[1]})
         return pa.record_batch([pa.array(names, schema.field(0).type), *(pa.array([counts[c].get(u, 0) for u in names], pa.int64()) for c in (1, 0))], schema=schema)
 
     def rows(batches):
-        counts = (Counter(), Counter())
+        words, n_docs = (Counter(), Counter()), [0, 0]
         only = None if allowed is None else allowed.value
-        units_of: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             for text, toxic in zip(common.strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                if only is None:
-                    own = text_units(text)
-                else:
-                    own = set()
-                    for word in set(WORD.findall(text.lower())):
-                        found = units_of.get(word)
-                        if found is None:
-                            if len(units_of) > REMEMBERED:
-                                units_of.clear()
-                            found = units_of[word] = tuple(u for u in units(word) if u in only)
-                        own.update(found)
-                mine = counts[1 if toxic else 0]
-                mine.update(own)
-                mine[""] += 1
-                if len(mine) > FLUSH:
-                    yield flush(counts)
-                    counts = (Counter(), Counter())
-        yield flush(counts)
+                label = 1 if toxic else 0
+                words[label].update(set(WORD.findall(text.lower())))
+                n_docs[label] += 1
+                if len(words[label]) > FLUSH:
+                    yield flush(words, n_docs, only)
+                    words, n_docs = (Counter(), Counter()), [0, 0]
+        yield flush(words, n_docs, only)
 
     common.ship(docs.sparkSession)
     return docs.mapInArrow(rows, COUNTS).groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -144,22 +136,28 @@ class Model:
     lam: float = 1.0
     k: float = 1.0
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    known: dict[str, float] = field(default_factory=dict)
+    neutral: set[str] = field(default_factory=set, compare=False)
 
-    def token(self, word: str) -> float:
-        score = self.known.get(word)
-        if score is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            odds = next((self.odds[u] for u in reversed(units(word)) if u in self.odds), 0.0)
-            score = self.known[word] = min(max(odds, LIMITS[0]), LIMITS[1]) - DRIFT
-        return score
+    def token(self, word: str) -> float | None:
+        """The score of a word with a kept unit, else None."""
+        odds = next((self.odds[u] for u in reversed(units(word)) if u in self.odds), None)
+        return None if odds is None else min(max(odds, LIMITS[0]), LIMITS[1]) - DRIFT
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]], list[float]]:
-        """Number of tokens, segments and the positive token scores."""
+        """Number of tokens, segments and the positive token scores. Words known to have no kept unit are passed over as a set."""
         tokens = WORD.findall(text.lower())
-        known = self.known
-        scored = [(i, s) for i, w in enumerate(tokens) if (s := known[w] if w in known else self.token(w)) != -DRIFT]
+        scores = {}
+        for word in set(tokens).difference(self.neutral):
+            score = self.token(word)
+            if score is None:
+                self.neutral.add(word)
+            else:
+                scores[word] = score
+        if len(self.neutral) > REMEMBERED:
+            self.neutral.clear()
+        if not scores:
+            return len(tokens), [], []
+        scored = [(i, scores[w]) for i, w in enumerate(tokens) if w in scores]
         return len(tokens), segments(scored), [s for _, s in scored if s > 0]
 
     def expected(self, n: int, score: float) -> float:
