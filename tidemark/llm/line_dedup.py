@@ -13,7 +13,7 @@ covers, a run counts once its writer has put ``_SUCCESS`` there, and runs that
 a committed run of a higher level covers are ignored. A batch or compaction
 that died half way is simply run again.
 
-Defined cases: a null text is one empty line; keys shorter than ``min_chars``
+Defined cases: a null text is one empty line and stays null; keys shorter than ``min_chars``
 code points are never dropped; every row is a document, also where its doc_id
 is null or repeated. Among documents the first is the one with the least
 doc_id (null last), ties by content.
@@ -147,12 +147,12 @@ def drop_lines(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str, pr
 
     def rows(batch):
         texts, n_lines, n_dropped, hashes = [], [], [], []
-        for text, keys in zip(common.raw(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+        for text, known, keys in zip(common.raw(batch.column(at)), batch.column(at).is_valid().to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             lines = text.split(b"\n")
             gone = frozenset(keys or ())
             kept = [x for x in lines if xxhash.xxh3_128_digest(line_key(x)) not in gone] if gone else lines
             text = b"\n".join(kept) if gone else text
-            texts.append(text)
+            texts.append(text if known else None)
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
             hashes.append(hashlib.sha256(text).hexdigest())
