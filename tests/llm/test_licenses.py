@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from tidemark.llm import licenses
 
@@ -50,3 +51,36 @@ def test_native_plan_without_shuffle_and_empty_table(docs):
     out = licenses.scan(docs((1, "a")).where("doc_id < 0"))
     plan = out._jdf.queryExecution().toString()
     assert out.count() == 0 and "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+MIT = [s for s, i in licenses.SENTENCES.items() if i in ("mit-grant", "mit-notice", "mit-asis")]
+BSD = [s for s, i in licenses.SENTENCES.items() if i.startswith("bsd-")]
+GPL_2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+NOTICES = [
+    ("Apache-2.0", 6, APACHE.split("\n\n")),
+    ("MIT", 4, ["MIT License", "Copyright (c) 2020 Person", f"{MIT[0]}", f"{MIT[1]}.", f"{MIT[2]}. IN NO EVENT SHALL THE AUTHORS BE LIABLE."]),
+    ("BSD-3-Clause", 4, [BSD[0], f"1. {BSD[1]}.", f"2. {BSD[2]}.", f"3. {BSD[3]}."]),
+    ("GPL-2.0-or-later", 2, [GPL_2]),
+    ("MPL-2.0", 2, [MPL]),
+]
+
+
+def commented(paragraphs, mark, width):
+    lines = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False) for p in paragraphs).split("\n")
+    return "import os\n" + "\n".join(f"{mark} {x}".rstrip() for x in lines) + "\ncode()\n"
+
+
+def test_wrapped_and_commented_notices(docs):
+    forms = [(mark, width) for mark in ("", "#", " *", "//", ";;") for width in (40, 72, 80, 5000)]
+    rows = [(name, n, commented(paragraphs, *form)) for name, n, paragraphs in NOTICES for form in forms]
+    got = licenses.scan(docs(*[(i, text) for i, (_, _, text) in enumerate(rows)])).collect()
+    for (name, n, text), row in zip(rows, got, strict=True):
+        assert (row.licenses, len(row.hits), "|" in row.sequence) == ([name], n, False), text
+
+
+def test_runs_keep_to_their_paragraph_and_whole_pieces(docs):
+    texts = ["Released under the\n\nMIT Licence terms", "not Released under the\nMIT License of old", "Released\nunder the MIT\nLicense", "You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0"]
+    got = licenses.scan(docs(*enumerate(texts))).collect()
+    assert [r.sequence for r in got] == ["", "", "<mit-ref>", "<apache-2-copy><apache-2-url>"]
+    assert [tuple(h) for h in got[2].hits] == [(0, 2, "mit-ref")]

@@ -1,11 +1,17 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is split into sentences at line ends and after ``. ! ? ;`` with white
-space behind. A sentence is normalised (lower case, everything but a-z and 0-9
-one space) and looked up among known licence sentences. The identifiers of the
-known sentences, in order, are the text's sequence; more than MAX_GAP unknown
-sentences in between break it. Ordered rules then match runs of identifiers,
-leftmost first and the longest rule first at each place, without overlap.
+A text is split into pieces at line ends and after ``. ! ? ;`` with white
+space behind. A piece is normalised (lower case, everything but a-z and 0-9
+one space, so that comment marks go). Known licence sentences are whole pieces
+or runs of adjacent ones, the longest first, so that a sentence wrapped over
+lines or cut after an abbreviation is found; a run ends at a line without
+letters and digits. Pieces of semicolons alone are comment marks and dropped.
+Two pieces that are known each stay two sentences. The identifiers of the known
+sentences, in order, are the text's sequence; more than MAX_GAP unknown pieces
+in between break it. Ordered rules then match runs of identifiers, leftmost
+first and the longest rule first at each place, without overlap. The SQL looks
+single pieces up only: it is the oracle for texts whose sentences stand on a
+line each.
 
 All of it is one projection: nothing is shuffled, so no key can be hot.
 Defined cases: null text is empty and has no sentences that match; a text with
@@ -109,20 +115,37 @@ KNOWN = {normalised(s): i for s, i in SENTENCES.items()}
 SEQUENCES = {"".join(f"<{i}>" for i in ids): licence for ids, licence in sorted(RULES, key=lambda r: (-len(r[0]), r[0]))}
 PATTERN = "|".join(SEQUENCES)
 
+#: Between two words of a sentence: a space or the number of the next piece.
+WRAP = r"(?: |\n#\d+ )"
+
+
+def run_of(key: str, known: dict[str, str]) -> str:
+    """The regular expression of a normalised sentence over one or more pieces."""
+    words = key.split(" ")
+    both = [" ".join(words[:i]) in known and " ".join(words[i:]) in known for i in range(1, len(words))]
+    return words[0] + "".join((" " if b else WRAP) + w for b, w in zip(both, words[1:], strict=True))
+
+
+RUNS = r"(?m)^#\d+ (?:" + "|".join(run_of(k, KNOWN) for k in sorted(KNOWN, key=lambda k: (-len(k), k))) + ")$"
+
 
 def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The columns of ``df`` and ``hits`` (sentence number and identifier), ``sequence`` and ``licenses`` in order of the text."""
+    """The columns of ``df`` and ``hits`` (first and last piece and identifier), ``sequence`` and ``licenses`` in order of the text."""
     keep = df.drop("hits", "sequence", "licenses")
     known, rules = _map(KNOWN), _map(SEQUENCES)
-    sentences = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"([.!?;])[ \t\n\r]+", "$1\n"), "\n")
+    pieces = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"([.!?;])[ \t\n\r]+", "$1\n"), "\n")
     norm = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    hits = F.filter(F.transform(sentences, lambda s, i: F.struct(i.alias("sentence"), F.element_at(known, norm(s)).alias("id"))), lambda h: h["id"].isNotNull())
-    out = keep.withColumn("hits", hits)
-    far = lambda h, j: (j > 0) & (h["sentence"] - F.get("hits", j - 1)["sentence"] > MAX_GAP + 1)
+    pieces = F.filter(pieces, lambda s: ~s.rlike(r"^[ \t]*;+[ \t\r]*$"))
+    marked = F.array_join(F.transform(pieces, lambda s, i: F.concat(F.lit("#"), i.cast("string"), F.lit(" "), norm(s))), "\n")
+    number = lambda m, at: F.regexp_extract(m, at, 1).cast("int")
+    key = lambda m: F.trim(F.regexp_replace(m, r"\n?#\d+ ", " "))
+    hit = lambda m: F.struct(number(m, r"^#(\d+)").alias("sentence"), number(m, r"#(\d+)[^#]*$").alias("last"), F.element_at(known, key(m)).alias("id"))
+    out = keep.withColumn("hits", F.transform(F.regexp_extract_all(marked, F.lit(RUNS), F.lit(0)), hit))
+    far = lambda h, j: (j > 0) & (h["sentence"] - F.get("hits", j - 1)["last"] > MAX_GAP + 1)
     marks = F.transform("hits", lambda h, j: F.concat(F.when(far(h, j), "|").otherwise(""), F.lit("<"), h["id"], F.lit(">")))
     out = out.withColumn("sequence", F.array_join(marks, ""))
     return out.withColumn("licenses", F.transform(F.regexp_extract_all("sequence", F.lit(PATTERN), F.lit(0)), lambda m: F.element_at(rules, m)))
