@@ -84,3 +84,23 @@ def test_runs_keep_to_their_paragraph_and_whole_pieces(docs):
     got = licenses.scan(docs(*enumerate(texts))).collect()
     assert [r.sequence for r in got] == ["", "", "<mit-ref>", "<apache-2-copy><apache-2-url>"]
     assert [tuple(h) for h in got[2].hits] == [(0, 2, "mit-ref")]
+
+
+GPL_3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+HOPE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+
+
+def test_standard_notices_that_no_rule_met(docs):
+    notices = [("MPL-2.0", MPL), ("GPL-3.0-or-later", GPL_3.format("General Public License") + "\n\n" + HOPE), ("LGPL-3.0-or-later", GPL_3.format("Lesser General Public License")), ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)\n")]
+    texts = [(name, form) for name, notice in notices for form in (notice, commented(notice.split("\n\n"), "#", 30), commented(notice.split("\n\n"), " *", 72))]
+    got = licenses.scan(docs(*[(i, text) for i, (_, text) in enumerate(texts)])).collect()
+    assert [r.licenses for r in got] == [[name] for name, _ in texts]
+
+
+def test_every_rule_fires_on_the_sentences_it_names(docs):
+    sentences = {i: s for s, i in reversed((licenses.SENTENCES | licenses.MORE_SENTENCES).items())}
+    rules = licenses.RULES + licenses.MORE_RULES
+    texts = [commented([". ".join(sentences[i] for i in ids) + "."], mark, width) for ids, _ in rules for mark, width in (("", 5000), ("//", 60))]
+    got = licenses.scan(docs(*enumerate(texts))).collect()
+    for (ids, licence), row in zip([r for r in rules for _ in range(2)], got, strict=True):
+        assert (row.sequence, row.licenses) == ("".join(f"<{i}>" for i in ids), [licence])

@@ -10,8 +10,8 @@ Two pieces that are known each stay two sentences. The identifiers of the known
 sentences, in order, are the text's sequence; more than MAX_GAP unknown pieces
 in between break it. Ordered rules then match runs of identifiers, leftmost
 first and the longest rule first at each place, without overlap. The SQL looks
-single pieces up only: it is the oracle for texts whose sentences stand on a
-line each.
+single pieces up only, without MORE_SENTENCES, MORE_RULES and the colon form:
+it is the oracle for texts whose sentences stand on a line each.
 
 All of it is one projection: nothing is shuffled, so no key can be hot.
 Defined cases: null text is empty and has no sentences that match; a text with
@@ -106,6 +106,18 @@ RULES = [
     (("unlicense",), "Unlicense"),
 ]
 
+# Fixed values that the SQL does not know: further forms of sentences, and rules for identifiers that state a licence alone.
+MORE_SENTENCES = {
+    "This library is free software": "gpl-free",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/": "mpl-2-copy",
+}
+MORE_RULES = [
+    (("mit-title",), "MIT"),
+    (("mpl-2-copy",), "MPL-2.0"),
+]
+# The GPL's version 3 notices have a colon where those of version 2 have a semicolon.
+COLON = r"(?i)(free[^a-z0-9]+software):(?=[^a-z0-9]+you[^a-z0-9]+can[^a-z0-9]+redistribute)"
+
 
 def normalised(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -114,6 +126,8 @@ def normalised(sentence: str) -> str:
 KNOWN = {normalised(s): i for s, i in SENTENCES.items()}
 SEQUENCES = {"".join(f"<{i}>" for i in ids): licence for ids, licence in sorted(RULES, key=lambda r: (-len(r[0]), r[0]))}
 PATTERN = "|".join(SEQUENCES)
+ALL_KNOWN = KNOWN | {normalised(s): i for s, i in MORE_SENTENCES.items()}
+ALL_SEQUENCES = {"".join(f"<{i}>" for i in ids): licence for ids, licence in sorted(RULES + MORE_RULES, key=lambda r: (-len(r[0]), r[0]))}
 
 #: Between two words of a sentence: a space or the number of the next piece.
 WRAP = r"(?: |\n#\d+ )"
@@ -126,7 +140,7 @@ def run_of(key: str, known: dict[str, str]) -> str:
     return words[0] + "".join((" " if b else WRAP) + w for b, w in zip(both, words[1:], strict=True))
 
 
-RUNS = r"(?m)^#\d+ (?:" + "|".join(run_of(k, KNOWN) for k in sorted(KNOWN, key=lambda k: (-len(k), k))) + ")$"
+RUNS = r"(?m)^#\d+ (?:" + "|".join(run_of(k, ALL_KNOWN) for k in sorted(ALL_KNOWN, key=lambda k: (-len(k), k))) + ")$"
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -136,8 +150,9 @@ def _map(values: dict[str, str]) -> Column:
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of ``df`` and ``hits`` (first and last piece and identifier), ``sequence`` and ``licenses`` in order of the text."""
     keep = df.drop("hits", "sequence", "licenses")
-    known, rules = _map(KNOWN), _map(SEQUENCES)
-    pieces = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"([.!?;])[ \t\n\r]+", "$1\n"), "\n")
+    known, rules = _map(ALL_KNOWN), _map(ALL_SEQUENCES)
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), COLON, "$1;")
+    pieces = F.split(F.regexp_replace(text, r"([.!?;])[ \t\n\r]+", "$1\n"), "\n")
     norm = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
     pieces = F.filter(pieces, lambda s: ~s.rlike(r"^[ \t]*;+[ \t\r]*$"))
     marked = F.array_join(F.transform(pieces, lambda s, i: F.concat(F.lit("#"), i.cast("string"), F.lit(" "), norm(s))), "\n")
@@ -148,7 +163,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     far = lambda h, j: (j > 0) & (h["sentence"] - F.get("hits", j - 1)["last"] > MAX_GAP + 1)
     marks = F.transform("hits", lambda h, j: F.concat(F.when(far(h, j), "|").otherwise(""), F.lit("<"), h["id"], F.lit(">")))
     out = out.withColumn("sequence", F.array_join(marks, ""))
-    return out.withColumn("licenses", F.transform(F.regexp_extract_all("sequence", F.lit(PATTERN), F.lit(0)), lambda m: F.element_at(rules, m)))
+    return out.withColumn("licenses", F.transform(F.regexp_extract_all("sequence", F.lit("|".join(ALL_SEQUENCES)), F.lit(0)), lambda m: F.element_at(rules, m)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
