@@ -126,3 +126,32 @@ def test_shorter_prefixes_give_the_same_links_once(docs):
     shortest = {r.d: tuple(r)[1:] for r in ngram_join.near_duplicates(docs(*rows), recall=2.0).select(*cols).collect()}
     assert shortest == brute(rows)
     assert ngram_join.chance(0.8, ngram_join.MIN_DEPTH) > 0.9999 > ngram_join.chance(0.8, ngram_join.DEPTH) > 0.996
+
+
+def pair_missed_at_first_depth():
+    """Two texts of similarity 0.8 that meet in a tree at the depth in use, but not at DEPTH."""
+    family = shingles.MinHash(ngram_join.TREES * ngram_join.DEPTH)
+    depth = ngram_join.prefix_depth(0.8, 0.9995)
+    for seed in range(5000):
+        words = [f"p{seed}x{i}" for i in range(104)]
+        texts = " ".join(words[:94]), " ".join(words[:84] + words[94:])
+        sigs = [family.short(shingles.distinct(x)).tobytes() for x in texts]
+        trees = [ngram_join.first_common_tree(sigs, d)[0, 1] for d in (ngram_join.DEPTH, depth)]
+        if trees[0] == ngram_join.TREES > trees[1]:
+            return texts
+    raise AssertionError("no such pair")
+
+
+def test_a_large_group_does_not_hide_a_pair_at_the_threshold(docs):
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join([*base[:-1], f"end{i}"])) for i in range(60)]
+    rows += [(100 + i, text) for i, text in enumerate(pair_missed_at_first_depth())]
+    expected = brute(rows)
+    assert expected[101][0] == 100 and found(docs(*rows)) == expected
+    assert found(docs(*rows[-2:])) == brute(rows[-2:])
+
+
+def test_depth_follows_the_threshold():
+    for threshold in (0.8, 0.85, 0.9, 1.0):
+        depth = ngram_join.prefix_depth(threshold, 0.9995)
+        assert all(ngram_join.chance(s, depth) >= 0.9995 for s in np.linspace(threshold, 1, 20))

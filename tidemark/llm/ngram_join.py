@@ -3,15 +3,12 @@
 Each text gets TREES signatures of DEPTH 16-bit min-hashes of its five-word
 shingles. A tree holds the texts sorted by signature, so that texts which
 share a prefix of d values are neighbours (one sorted prefix trie for each
-tree). Matching starts with whole signatures and shortens the prefix only as
-far as the target recall asks:
-
-- the pairs verified at depth DEPTH have known similarities s; a pair of
-  similarity s meets at depth d with probability p_d(s) = 1-(1-s^d)^TREES, so
-  the found pairs, weighted by 1/p_DEPTH(s), estimate how many pairs there are
-  and which share of them each shorter depth would find;
-- the longest prefix whose estimated recall reaches ``recall`` is then used;
-  MIN_DEPTH bounds the search (recall 0.99999 at a similarity of 0.8).
+tree). A pair of similarity s meets at depth d in some tree with probability
+p_d(s) = 1-(1-s^d)^TREES, which grows with s. The prefix is shortened from
+DEPTH until a pair at the threshold itself, the hardest one asked for, is met
+with probability ``recall``; MIN_DEPTH bounds it (0.99999 at a similarity of
+0.8). The texts have no say in it: pairs found in a large group of like texts
+tell nothing of the pairs missed elsewhere.
 
 Every candidate pair is verified exactly on the whole shingle sets. Texts with
 equal shingle sets are one class and are compared once. A bucket of n texts is
@@ -42,7 +39,7 @@ FEATURES = 8192
 
 SKETCH = T.StructType([T.StructField("doc", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 SETS = T.StructType([T.StructField("set", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("n_docs", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
-FOUND = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("root", T.BinaryType()), T.StructField("n_links", T.LongType()), T.StructField("n_linked_docs", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+FOUND = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("root", T.BinaryType()), T.StructField("n_links", T.LongType()), T.StructField("n_linked_docs", T.LongType())])
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -54,6 +51,11 @@ def chance(s: float | np.ndarray, depth: int) -> float | np.ndarray:
     return 1 - (1 - s**depth) ** TREES
 
 
+def prefix_depth(threshold: float, recall: float) -> int:
+    """The longest prefix that finds pairs at the threshold with probability ``recall``; MIN_DEPTH if none does."""
+    return next((d for d in range(DEPTH, MIN_DEPTH, -1) if chance(threshold, d) >= recall), MIN_DEPTH)
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, set, sig) of every row."""
     schema = common.arrow_schema(SKETCH)
@@ -156,7 +158,7 @@ def roots(linked: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def verify_block(threshold: float, depth: int, tree: int, cross: bool, sides: np.ndarray, nodes: list[bytes], n_docs: np.ndarray, sigs: list[bytes], sets: list[np.ndarray]) -> list[tuple]:
-    """A row (node, root, links, linked documents, weights) for each text with a link that belongs to this block."""
+    """A row (node, root, links, linked documents) for each text with a link that belongs to this block."""
     sizes = np.array([len(s) for s in sets], np.float64)
     both = overlaps(sets)
     similar = both / (sizes[:, None] + sizes[None, :] - both)
@@ -173,9 +175,7 @@ def verify_block(threshold: float, depth: int, tree: int, cross: bool, sides: np
     order = np.empty(len(nodes), np.int64)
     order[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
     root = roots(ok, order)
-    inverse = 1 / chance(similar, DEPTH)
-    weights = [np.where(ok, inverse, 0).sum(axis=1)] + [np.where(ok, inverse * chance(similar, d), 0).sum(axis=1) for d in range(DEPTH, MIN_DEPTH - 1, -1)]
-    return [(nodes[i], nodes[root[i]], int(ok[i].sum()), int(n_docs[ok[i]].sum()), [float(w[i]) for w in weights]) for i in has]
+    return [(nodes[i], nodes[root[i]], int(ok[i].sum()), int(n_docs[ok[i]].sum())) for i in has]
 
 
 def verified(members: DataFrame, sets: DataFrame, depth: int, threshold: float) -> DataFrame:
@@ -212,14 +212,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = common.written(sketch.groupBy("set").agg(F.min("doc").alias("node"), F.count("*").alias("n_docs"), F.first("sig").alias("sig")), "classes")
     members = common.written(trie_members(classes), "trie")
     sets = common.written(shingle_sets(src, classes, members, id_col, text_col), "shingles")
-    depth = DEPTH
-    found = common.written(verified(members, sets, depth, threshold), "links")
-    sums = [F.sum(F.col("weights")[i]) for i in range(DEPTH - MIN_DEPTH + 2)]
-    total, *reached = found.agg(*sums).first()
-    while total and depth > MIN_DEPTH and reached[DEPTH - depth] / total < recall:
-        depth -= 1
-    if depth < DEPTH:
-        found = common.written(verified(members, sets, depth, threshold), "links")
+    found = common.written(verified(members, sets, prefix_depth(threshold, recall), threshold), "links")
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("n_linked_docs"))
     roots_of = components.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = classes.drop("sig").join(links, "node", "left").join(roots_of, "node", "left")
