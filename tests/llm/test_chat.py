@@ -63,3 +63,12 @@ def test_native_and_empty(turns):
     plan = out._jdf.queryExecution().toString()
     assert out.count() == 0 and "Python" not in plan and "Arrow" not in plan
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_messages_without_turn_keep_their_order_and_company(turns):
+    rows = [(1, None, "user" if i % 2 else "bot", f"loose {i % 13}") for i in range(25)] + [(None, None, "a", "x"), (None, None, "b", "y")]
+    assert found(turns(*rows)) == brute(rows)
+    rows.append((1, 0, "bot", "first"))
+    parts = [r for r in chat.rotate(turns(*rows), part_turns=10).collect() if (r.conv_id, r.speaker) == (1, "bot")]
+    assert sorted(r.part for r in parts) == [-3, -2, -1, 0]
+    assert "".join(r.rendered for r in sorted(parts, key=lambda r: r.part)) == brute(rows)[1, "bot"][0]

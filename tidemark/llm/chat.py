@@ -11,8 +11,9 @@ bounded and one very long dialogue is spread over tasks; participants are those
 of the whole dialogue.
 
 Defined cases: null text is empty, null role is the participant ``unknown``;
-rows with null conv_id are one dialogue; rows without turn are dealt by content
-into parts below 0; a dialogue of system turns alone has no participant and
+rows with null conv_id are one dialogue; rows without turn are numbered by role
+and text from the last one back and cut into parts of as many, -1 and below, so
+that the parts in order are the promised order; a dialogue of system turns alone has no participant and
 gives no row. Marks inside texts are broken up by a space, so that contents
 cannot forge turns. A repeated message is rendered each time.
 """
@@ -21,11 +22,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import common
 
 PART_TURNS = 1024
-LOOSE_PARTS = 16
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -42,9 +43,10 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     """(conv_id, part, speaker, rendered, mask): mask lists spans (n_chars, loss) in order, which cover ``rendered``."""
     turn, role = F.col(turn_col).cast("long"), _clean(F.coalesce(F.col(role_col), F.lit("unknown")))
     text = _clean(F.coalesce(F.col(text_col), F.lit("")))
-    loose = -1 - F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(LOOSE_PARTS))
-    part = F.coalesce(F.floor(turn / part_turns), loose).cast("long")
-    rows = df.select(F.col(conv_col).cast("long").alias("conv_id"), part.alias("part"), turn.alias("turn"), role.alias("role"), text.alias("text"))
+    rows = df.select(F.col(conv_col).cast("long").alias("conv_id"), turn.alias("turn"), role.alias("role"), text.alias("text"))
+    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("role"), F.desc("text")))
+    loose = rows.where("turn IS NULL").withColumn("part", (-1 - F.floor((back - 1) / part_turns)).cast("long"))
+    rows = rows.where("turn IS NOT NULL").withColumn("part", F.floor(F.col("turn") / part_turns).cast("long")).unionByName(loose)
     speakers = rows.where("role <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
     parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
