@@ -54,3 +54,9 @@ def test_query_blocks_and_slices(vectors, monkeypatch):
 def test_repeated_ids(vectors):
     rows = [(20, [1.0, 1.0]), (20, [1.0, 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0])]
     assert [(r[0], r[2]) for r in found(vectors(*rows))] == [(20, 7), (20, 7)]
+
+
+def test_each_length_is_searched_among_its_own(vectors):
+    rng = random.Random(5)
+    groups = [[(20 * n + i, [rng.uniform(-1, 1) for _ in range(dim)]) for i in range(n_rows)] for n, dim, n_rows in ((0, 3, 50), (10, 8, 70), (30, 1, 21))]
+    assert found(vectors(*sum(groups, [])), 5) == sorted(sum((brute(g, 5) for g in groups), []))

@@ -15,9 +15,9 @@ packed vectors, one pass over the file for each block; the results of all
 but a single block are written to the shared folder, so neither driver nor
 broadcast grows with the number of queries.
 
-Defined cases: vectors that are null, empty, of another length than the first
-query's, or hold a null or non-finite component take no part; neither do rows
-without id. Repeated ids are candidates each, but one query; a query's own id
+Defined cases: vectors that are null, empty, or hold a null or non-finite
+component take no part; neither do rows without id. A query's candidates are
+the vectors of its length; each length has its own passes. Repeated ids are candidates each, but one query; a query's own id
 is never its candidate. An empty table gives no rows.
 """
 
@@ -137,20 +137,17 @@ def _pass(file: DataFrame, block, k: int) -> DataFrame:
 
 
 def _blocks(queries: DataFrame):
-    """(ids, vectors) of at most QUERY_BLOCK queries of one length, read one partition at a time."""
-    ids, vectors, dim = [], [], None
-    for row in queries.select("vec_id", "dim", "exact").toLocalIterator():
-        if dim is None:
-            dim = row.dim
-        if row.dim != dim:
-            continue
-        ids.append(row.vec_id)
-        vectors.append(np.frombuffer(row.exact, "<i4").astype(np.int64))
-        if len(ids) == QUERY_BLOCK:
+    """(ids, vectors) of at most QUERY_BLOCK queries of one length, length by length, read one partition at a time."""
+    for dim in sorted(row.dim for row in queries.select("dim").distinct().collect()):
+        ids, vectors = [], []
+        for row in queries.where(F.col("dim") == dim).select("vec_id", "exact").toLocalIterator():
+            ids.append(row.vec_id)
+            vectors.append(np.frombuffer(row.exact, "<i4").astype(np.int64))
+            if len(ids) == QUERY_BLOCK:
+                yield np.array(ids), np.stack(vectors)
+                ids, vectors = [], []
+        if ids:
             yield np.array(ids), np.stack(vectors)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids), np.stack(vectors)
 
 
 def top_k(df: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
