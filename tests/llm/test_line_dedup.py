@@ -77,3 +77,13 @@ def test_streaming_batches_drop_what_earlier_batches_have(docs, spark):
     assert sorted(r.text for r in first.collect()) == ["a", "a\nb"]
     assert sorted(r.text for r in second.collect()) == ["c", "c"]
     assert line_dedup.doc_lines(docs((5, "b\nz")), "doc_id", "text").transform(runs.unseen).count() == 1
+
+
+def test_streaming_batches_go_by_the_anti_join(docs, spark, monkeypatch):
+    runs, calls = LineRuns(spark), []
+    unseen = runs.unseen
+    monkeypatch.setattr(runs, "unseen", lambda lines: calls.append(1) or unseen(lines))
+    line_dedup.dedup_batch(runs, 0, docs((1, "long line\nab\n"), (2, None)), min_chars=3)
+    second = line_dedup.dedup_batch(runs, 1, docs((3, "LONG line"), (4, "ab\n\nnew line\nlong line"), (5, None), (6, "ab")), min_chars=3)
+    assert len(calls) == 2
+    assert {r.doc_id: (r.text, r.n_dropped) for r in second.collect()} == {3: ("", 1), 4: ("ab\n\nnew line", 1), 5: (None, 0), 6: ("ab", 0)}

@@ -5,8 +5,10 @@ with A-Z lower-cased; its hash has 128 bits. ``LineRuns`` keeps, in a folder
 of the shared store, sorted runs of (hash, number of documents, first
 document). Each batch adds one run at level 0; ``FANOUT`` runs of a level are
 compacted into one run of the next, so that a store of n batches holds
-O(FANOUT * log n) runs and every row is rewritten O(log n) times. A batch is
-deduplicated by a merge-anti-join of its lines with the runs.
+O(FANOUT * log n) runs and every row is rewritten O(log n) times. A streamed
+batch (``dedup_batch``) is deduplicated by a merge-anti-join of its lines with
+the runs; ``dedup_lines`` needs the totals of all batches, so it counts over the
+runs and joins the frequent lines in a second pass.
 
 Commits are idempotent: a run's name states its level and which batches it
 covers, a run counts once its writer has put ``_SUCCESS`` there, and runs that
@@ -131,9 +133,11 @@ class LineRuns:
         return lines.join(self.totals().select("key").hint("merge"), "key", "left_anti")
 
 
-def drop_lines(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str, prefix: str = "") -> DataFrame:
+def drop_lines(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str, prefix: str = "", stay: int | None = None) -> DataFrame:
     """All columns of ``df``, ``text_col`` without the lines in ``dropped``, and n_lines, n_dropped and kept_sha256.
 
+    With ``stay``, ``dropped`` lists the lines that stay instead; shorter keys than ``stay`` code points always do.
+
     The three get ``prefix``; columns of ``df`` with the same names are replaced.
     The text crosses one shuffle, to meet its own list of lines.
     """
@@ -149,9 +153,12 @@ def drop_lines(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str, pr
         texts, n_lines, n_dropped, hashes = [], [], [], []
         for text, known, keys in zip(common.raw(batch.column(at)), batch.column(at).is_valid().to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             lines = text.split(b"\n")
-            gone = frozenset(keys or ())
-            kept = [x for x in lines if xxhash.xxh3_128_digest(line_key(x)) not in gone] if gone else lines
-            text = b"\n".join(kept) if gone else text
+            listed = frozenset(keys or ())
+            if stay is not None:
+                kept = [x for x in lines if not _long_enough(k := line_key(x), stay) or xxhash.xxh3_128_digest(k) in listed]
+            else:
+                kept = [x for x in lines if xxhash.xxh3_128_digest(line_key(x)) not in listed] if listed else lines
+            text = b"\n".join(kept) if len(kept) < len(lines) else text
             texts.append(text if known else None)
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
@@ -201,8 +208,8 @@ def dedup_batch(runs: LineRuns, batch: int, df: DataFrame, id_col: str = "doc_id
     callers write the result before they acknowledge the batch.
     """
     lines = common.written(doc_lines(df, id_col, text_col, min_chars), "lines")
-    seen = lines.join(runs.totals().select("key").hint("merge"), "key", "left_semi").groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    out = common.written(drop_lines(df, seen, id_col, text_col), "deduplicated")
+    fresh = runs.unseen(lines).groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    out = common.written(drop_lines(df, fresh, id_col, text_col, stay=min_chars), "deduplicated")
     runs.add(batch, lines)
     return out
 
