@@ -139,3 +139,16 @@ def test_day_checks(spark):
     got = {r.day_of.day: r for r in quality.day_checks(candles(spark, rows), share=2.0).collect()}
     assert [got[d].open_gap for d in (1, 2, 3, 7)] == [False, False, True, False]
     assert got[3].odd_volume and got[7].missing_weekdays == 1 and got[2].missing_weekdays == 0
+
+
+def test_registered_grid_finds_its_window_in_other_years(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import catalog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("ts", F.col("ts") + F.expr("INTERVAL 700 DAYS")).write.parquet(str(tmp_path / "later" / "events.parquet"))
+    events.limit(0).write.parquet(str(tmp_path / "none" / "events.parquet"))
+    rows = lambda path: sorted(map(tuple, catalog.grid_search(spark, path).collect()))
+    assert rows(str(tmp_path / "later")) == rows("/root/testdata/sf0.001") != []
+    assert rows(str(tmp_path / "none")) == []

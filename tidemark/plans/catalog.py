@@ -321,7 +321,6 @@ def param_grid(spark, sf_dir):
     return spark.createDataFrame(rows, "experiment_id string, fast_ema int, slow_ema int, angle_threshold double, angle_lookback int")
 
 
-WINDOW = (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 24))
 GRID_KEYS = "experiment_id, instrument"
 IN_WINDOW = "win AS (SELECT * FROM bars WHERE timestamp >= TIMESTAMP '2024-01-01' AND timestamp < TIMESTAMP '2024-01-24')"
 GRID_SQL = (o.bars(60), IN_WINDOW, CFG, o.grid_signals("win", KEY, CONFIGS, "experiment_id"), o.trades("sig", GRID_KEYS), o.trade_metrics("tr", GRID_KEYS), "k AS (SELECT DISTINCT experiment_id, instrument FROM sig)",
@@ -329,8 +328,15 @@ GRID_SQL = (o.bars(60), IN_WINDOW, CFG, o.grid_signals("win", KEY, CONFIGS, "exp
             "best AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY round(net_pnl, 6) DESC, experiment_id) AS rank FROM g)")
 
 
+def _training_window(spark, sf_dir):
+    """The training window from the first event on; the SQL holds that of the given tables."""
+    rows = table(spark, sf_dir, "events").select(F.col("ts").alias("timestamp"))
+    train = research.split_schedule(rows).where("split = 'train'").first()
+    return (train.start, train.end) if train else (dt.datetime.max, dt.datetime.max)
+
+
 def _grid(spark, sf_dir):
-    found = research.grid_search(event_bars(spark, sf_dir), WINDOW, GRID, backtest_config=NORMAL, angle_scale=2.0)
+    found = research.grid_search(event_bars(spark, sf_dir), _training_window(spark, sf_dir), GRID, backtest_config=NORMAL, angle_scale=2.0)
     return found.withColumn("total_trades", F.col("total_trades").cast("long"))
 
 
