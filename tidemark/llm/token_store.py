@@ -8,12 +8,16 @@ them, follow doc_id: stripe statistics and row indexes prune a lookup to the
 stripes that can hold an id, Bloom filters on doc_id settle absent ids, and
 readers split files at stripes.
 
-Ids come from the tokenizers library, behind a worker's table of known chunks
-(``chunk_table``).
+Ids are those of the tokenizers library with add_special_tokens=False, behind a
+worker's table of known chunks (``chunk_table``, which says why they are the same).
 
 Defined cases: null text is empty and holds the end id alone; null doc_id
-comes first; documents with the same doc_id follow each other in order of
-their text and are spread by its hash, so that one frequent id is not one task.
+comes first; documents with the same doc_id follow each other in order of the
+hash of their text, then the text, and are spread by that hash, so that one
+frequent id is not one task; a special token's string in a text is that token;
+a very long text is a batch of its own, worked in spans of bounded size (one
+unbroken run without any safe border is encoded by the library as it is); other
+columns are not stored; an empty table gives files without rows.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from tidemark.llm import chunk_table, common
 STORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("position", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 ORC = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def default_tokenizer() -> str:
