@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -33,19 +36,68 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+_local = threading.local()
+_roots: set[str] = set()
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+@contextmanager
+def scope(spark: SparkSession):
+    """Removes, at its end and on failure, the scratch tables made inside, but for those that are kept."""
+    scopes = _local.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            remove(spark, path)
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, removed with the innermost scope; with ``keep`` with the next one outside.
+
+    What no scope removes goes when the driver's JVM ends (Hadoop's
+    delete-on-exit), or with ``clear``.
+    """
+    root = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        fs, at = filesystem(spark, root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _roots.add(root)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    scopes = getattr(_local, "scopes", [])
+    depth = len(scopes) - (2 if keep else 1)
+    if depth >= 0:
+        scopes[depth].append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application, when its results have been written."""
+    remove(spark, f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None, keep: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name, keep)
     out = df.write.mode("overwrite")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def doc_key(id_col: str, text_col: str) -> Column:
+    """25 bytes that name a row's document and sort by id, null last, then by content (null is the empty text)."""
+    biased = F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    head = F.when(F.col(id_col).isNull(), "01" + "0" * 16).otherwise(F.concat(F.lit("00"), biased))
+    return F.unhex(F.concat(head, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+
+
+def id_of(key: str) -> Column:
+    """The id in a document key; null where the document had none."""
+    number = F.conv(F.hex(F.substring(key, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", number)
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's file system and Path of ``path``."""
     jvm = spark.sparkContext._jvm
