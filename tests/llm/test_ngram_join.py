@@ -85,11 +85,12 @@ def test_repeated_rows_null_ids_and_empty_table(docs):
     assert ngram_join.keep_first(docs((1, "a")).where("doc_id < 0")).count() == 0
 
 
-def test_long_text_in_chunks(monkeypatch):
-    text = " ".join(f"w{i % 977}" for i in range(5000))
+def test_long_text_in_pieces(monkeypatch):
+    text = "  ".join(f"Σw{i % 977}\u00a0x" for i in range(5000))
     whole = shingles.in_order(text)
-    monkeypatch.setattr(shingles, "CHUNK_WORDS", 700)
+    monkeypatch.setattr(shingles, "PIECE", 700)
     assert np.array_equal(whole, shingles.in_order(text))
+    assert [w for p in shingles.pieces(text) for w in shingles.words(p)] == shingles.words(text)
 
 
 def test_min_hash_estimates_similarity():
@@ -120,12 +121,32 @@ def test_components(spark, seed):
     assert {v: r for v, r in got.items()} == {v: r for v, r in expected.items() if v not in loops}
 
 
-def test_shorter_prefixes_give_the_same_links_once(docs):
-    rows = near_corpus(seed=11)
+def test_low_thresholds_lose_no_pairs(docs):
+    rng, rows = random.Random(5), []
+    for pair in range(60):
+        words = [f"p{pair}x{i}" for i in range(110)]
+        rows += [(2 * pair, " ".join(words[:84])), (2 * pair + 1, " ".join(words[28:]))]
+    rng.shuffle(rows)
+    expected = brute(rows, 0.45)
+    assert sum(links for *_, links, _ in expected.values()) == 120
     cols = [ngram_join.id_of("doc").alias("d"), ngram_join.id_of("root").alias("r"), ngram_join.id_of("node").alias("c"), "n_docs", "n_links", "n_linked_docs"]
-    shortest = {r.d: tuple(r)[1:] for r in ngram_join.near_duplicates(docs(*rows), recall=2.0).select(*cols).collect()}
-    assert shortest == brute(rows)
-    assert ngram_join.chance(0.8, ngram_join.MIN_DEPTH) > 0.9999 > ngram_join.chance(0.8, ngram_join.DEPTH) > 0.996
+    assert {r.d: tuple(r)[1:] for r in ngram_join.near_duplicates(docs(*rows), threshold=0.45).select(*cols).collect()} == expected
+    with pytest.raises(ValueError):
+        ngram_join.prefix_depth(0.05, 0.9995)
+
+
+def test_null_ids_meet_by_their_text_only(docs):
+    rows = [(None, f"{'same words in all of these texts here ' * 3} {i}") for i in range(40)] + [(None, "copy of it")] * 30
+    out = ngram_join.near_duplicates(docs(*rows)).collect()
+    assert len(out) == 70 and sum(r.n_docs == 30 for r in out) == 30
+
+
+def test_word_shingles_are_numbered_by_words():
+    texts = ["a b c d e f", "b c d e f", "", "a b", "ab", "x " * 50, "a b c d e"]
+    owner, number = ngram_join.word_shingles(texts)
+    mine = [set(number[owner == i].tolist()) for i in range(len(texts))]
+    plain = [shingle_set(t) for t in texts]
+    assert [[len(a & b) for b in mine] for a in mine] == [[len(a & b) for b in plain] for a in plain]
 
 
 def pair_missed_at_first_depth():

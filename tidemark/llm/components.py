@@ -25,7 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops and repeated edges are allowed; no edges give no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    e = common.written(e, "edges")
+    with common.scope(e.sparkSession):
+        return common.written(_labelled(common.written(e, "edges")), "components", keep=True)
+
+
+def _labelled(e: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

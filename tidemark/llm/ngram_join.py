@@ -6,39 +6,46 @@ share a prefix of d values are neighbours (one sorted prefix trie for each
 tree). A pair of similarity s meets at depth d in some tree with probability
 p_d(s) = 1-(1-s^d)^TREES, which grows with s. The prefix is shortened from
 DEPTH until a pair at the threshold itself, the hardest one asked for, is met
-with probability ``recall``; MIN_DEPTH bounds it (0.99999 at a similarity of
-0.8). The texts have no say in it: pairs found in a large group of like texts
-tell nothing of the pairs missed elsewhere.
-
-Every candidate pair is verified exactly on the whole shingle sets. Texts with
-equal shingle sets are one class and are compared once. A bucket of n texts is
-worked in blocks of BLOCK: a task sees two blocks, verifies the pairs whose
-first common tree is this bucket's (so that each pair counts once) and returns
-a row for each text, not for each pair.
+with probability ``recall``; where even one value is too long a prefix (low
+thresholds) ValueError is raised. The texts have no say in it: pairs found in a
+large group of like texts tell nothing of the pairs missed elsewhere.
+
+Every candidate pair is verified exactly, on the words: a task numbers the
+words of its texts and, word by word, the five-word sequences, so no hash can
+make two shingles equal. Texts with equal shingle sets (128-bit digest) are one
+class and are compared once, by one document's text. A bucket of n texts is
+worked in blocks of at most about BLOCK texts and BLOCK_BYTES of text: a task
+sees two blocks, verifies the pairs whose first common tree is this bucket's (so
+that each pair counts once) and returns a row for each text, not for each pair.
+Counting the links between n different near copies takes n^2/2 comparisons by
+nature; a text is sent to the tasks of its bucket once for each block.
 
 Defined cases: null text is the empty text; texts without words equal each
-other; repeated rows and null ids are documents like others.
+other; repeated rows and null ids are documents like others (``keep_first``
+keeps any one of rows with equal id and text); very long texts are whole, alone
+in a block if need be; other columns take no part; an empty table has no rows.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidemark.llm import common, components, shingles
-from tidemark.llm.line_dedup import doc_key, with_doc_key
+from tidemark.llm.common import id_of
 
-TREES, DEPTH, MIN_DEPTH = 32, 8, 5
-BLOCK = 256
-FEATURES = 8192
+TREES, DEPTH = 32, 8
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+DENSE = 1 << 22
 
-SKETCH = T.StructType([T.StructField("doc", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("sig", T.BinaryType())])
-SETS = T.StructType([T.StructField("set", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("n_docs", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("doc", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())])
 FOUND = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("root", T.BinaryType()), T.StructField("n_links", T.LongType()), T.StructField("n_linked_docs", T.LongType())])
 
 
@@ -52,150 +59,161 @@ def chance(s: float | np.ndarray, depth: int) -> float | np.ndarray:
 
 
 def prefix_depth(threshold: float, recall: float) -> int:
-    """The longest prefix that finds pairs at the threshold with probability ``recall``; MIN_DEPTH if none does."""
-    return next((d for d in range(DEPTH, MIN_DEPTH, -1) if chance(threshold, d) >= recall), MIN_DEPTH)
+    """The longest prefix that finds pairs at the threshold with probability ``recall``."""
+    found = next((d for d in range(DEPTH, 0, -1) if chance(threshold, d) >= recall), 0)
+    if not found:
+        raise ValueError(f"{TREES} trees cannot find pairs of similarity {threshold} with probability {recall}")
+    return found
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, set, sig) of every row."""
+    """(doc, set, sig, bytes of text) of every row."""
     schema = common.arrow_schema(SKETCH)
 
     def rows(batch):
         family = shingles.MinHash(TREES * DEPTH)
-        docs, sets, sigs = [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), common.raw(batch.column(1)), strict=True):
+        sets, sigs, sizes = [], [], []
+        for text in common.raw(batch.column(1)):
             hashes = shingles.distinct(text.decode("utf-8", "replace"))
-            docs.append(doc_key(doc_id, text))
             sets.append(set_key(hashes))
             sigs.append(family.short(hashes).tobytes())
-        yield pa.record_batch([pa.array(x, pa.binary()) for x in (docs, sets, sigs)], schema=schema)
+            sizes.append(len(text))
+        yield pa.record_batch([batch.column(0).cast(pa.binary()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], schema=schema)
 
-    return common.map_arrow(df.select(F.col(id_col).cast("long"), F.col(text_col)), rows, SKETCH)
+    return common.map_arrow(df.select(common.doc_key(id_col, text_col).alias("doc"), F.col(text_col)), rows, SKETCH)
 
 
-def trie_members(classes: DataFrame) -> DataFrame:
-    """(bucket, tree, prefix, set) of the texts that share a prefix of MIN_DEPTH with another text."""
-    width = 2 * DEPTH
-    rows = classes.select("set", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("set", F.col("tree").cast("tinyint").alias("tree"), F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("prefix"))
-    rows = rows.withColumn("bucket", F.xxhash64("tree", F.expr(f"substring(prefix, 1, {2 * MIN_DEPTH})")))
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
-
+def trie_members(classes: DataFrame, depth: int) -> DataFrame:
+    """(key, tree, set, n, bytes) of the texts that share a prefix of ``depth`` with another text; n and bytes are the bucket's.
 
-def shingle_sets(df: DataFrame, classes: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Shingles of one document of each class in ``members``.
-
-    The documents meet the wanted ids in a join that Spark broadcasts only
-    where the ids are few at run time. An id that several documents share
-    brings all of them; the class's own is told by its key.
+    Buckets are counted with partial sums and joined back, so a prefix that
+    very many texts share is no single task's.
     """
-    wanted = classes.join(members.select("set").distinct(), "set", "left_semi").select("node", "n_docs", "sig", F.col("set").alias("wanted_set"))
-    wanted = wanted.withColumn("head", F.substring("node", 1, 8))
-    head = F.when(F.col(id_col).isNull(), F.unhex(F.lit("ff" * 8))).otherwise(F.unhex(F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")))
-    texts = df.select(head.alias("head"), F.col(text_col).alias("text")).join(wanted, "head").drop("head")
-    schema = common.arrow_schema(SETS)
-
-    def rows(batch):
-        out = {n: [] for n in SETS.names}
-        columns = [batch.column(i).to_pylist() for i in range(1, 5)]
-        for text, node, n_docs, sig, wanted_set in zip(common.raw(batch.column(0)), *columns, strict=True):
-            if xxhash.xxh3_128_digest(text) == node[8:]:
-                for name, value in zip(SETS.names, (wanted_set, node, n_docs, sig, shingles.distinct(text.decode("utf-8", "replace")).tobytes()), strict=True):
-                    out[name].append(value)
-        yield pa.record_batch([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    return common.map_arrow(texts, rows, SETS).dropDuplicates(["set"])
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The size of every pairwise intersection."""
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]], np.float32)
-    sizes = np.array([len(s) for s in sets])
-    _, feature, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    common_only = count[feature] > 1
-    ids = (np.cumsum(count > 1) - 1)[feature[common_only]]
-    owner = owner[common_only]
-    order = np.argsort(ids, kind="stable")
-    ids, owner = ids[order], owner[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, FEATURES):
-        a, b = np.searchsorted(ids, [low, low + FEATURES])
-        dense = np.zeros((len(sets), FEATURES), np.float32)
-        dense[owner[a:b], ids[a:b] - low] = 1
-        out += dense @ dense.T
-    out[np.diag_indices(len(sets))] = sizes
+    width = 2 * DEPTH
+    rows = classes.select("set", "size", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select(F.xxhash64("tree", F.expr(f"substring(sig, tree * {width} + 1, {2 * depth})")).alias("key"), F.col("tree").cast("tinyint").alias("tree"), "set", "size")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    return rows.drop("size").join(common.written(shared, "buckets"), "key")
+
+
+def distinct_buckets(members: DataFrame) -> DataFrame:
+    """The members of one of each set of equal buckets: trees often hold the same one, and the first tree's stands for all."""
+    who = [F.expr("bit_xor(xxhash64(set))").alias("a"), F.expr("bit_xor(xxhash64(1, set))").alias("b")]
+    buckets = members.groupBy("key").agg(F.first("n").alias("n"), F.min("tree").alias("tree"), *who)
+    kept = buckets.groupBy("n", "a", "b").agg(F.min(F.struct("tree", "key")).alias("k")).select("k.key")
+    return members.join(common.written(kept, "distinct-buckets"), "key")
+
+
+def member_texts(df: DataFrame, classes: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(set, node, n_docs, sig, text) of one document of each class in ``members``, met by its whole key."""
+    wanted = classes.join(members.select("set").distinct(), "set", "left_semi").select("node", "n_docs", "sig", "set")
+    return df.select(common.doc_key(id_col, text_col).alias("node"), F.col(text_col).alias("text")).join(wanted, "node").dropDuplicates(["node"])
+
+
+def word_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of the distinct shingles of every text, by text; equal numbers are equal sequences of words."""
+    words: dict[str, int] = defaultdict(count(1).__next__)
+    owners, columns = [], [[] for _ in range(shingles.WORDS)]
+    for i, text in enumerate(texts):
+        parts = [np.fromiter(map(words.__getitem__, found), np.int64, len(found)) for found in map(shingles.words, shingles.pieces(text))]
+        each = np.concatenate([*parts, np.zeros(max(0, shingles.WORDS - sum(map(len, parts))), np.int64)])
+        m = len(each) - shingles.WORDS + 1
+        owners.append(np.full(m, i))
+        for place, column in enumerate(columns):
+            column.append(each[place : place + m])
+    number = np.concatenate(columns[0])
+    for column in columns[1:]:
+        number = np.unique(number * (len(words) + 1) + np.concatenate(column), return_inverse=True)[1].astype(np.int64)
+    pairs = np.unique(np.concatenate(owners) * (int(number.max()) + 1) + number)
+    return np.divmod(pairs, int(number.max()) + 1)
+
+
+def overlaps(owner: np.ndarray, shingle: np.ndarray, n: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The size of the intersection of each text of ``rows`` with each of ``columns``."""
+    held = np.bincount(shingle)
+    shared = held[shingle] > 1
+    owner, feature = owner[shared], (np.cumsum(held > 1) - 1)[shingle[shared]]
+    order = np.argsort(feature, kind="stable")
+    owner, feature = owner[order], feature[order]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    step = max(64, DENSE // n)
+    for low in range(0, int(feature[-1]) + 1 if len(feature) else 0, step):
+        a, b = np.searchsorted(feature, [low, low + step])
+        dense = np.zeros((n, step), np.float32)
+        dense[owner[a:b], feature[a:b] - low] = 1
+        out += dense[rows] @ dense[columns].T
     return out
 
 
-def first_common_tree(sigs: list[bytes], depth: int) -> np.ndarray:
+def first_common_tree(sigs: list[bytes], depth: int, rows: np.ndarray | None = None, columns: np.ndarray | None = None) -> np.ndarray:
     """For each pair, the first tree in which both share a prefix of ``depth``; TREES if none."""
     values = np.frombuffer(b"".join(sigs), ">u2").reshape(len(sigs), TREES, DEPTH)[:, :, :depth].astype(np.uint64)
     folded = np.zeros(values.shape[:2], np.uint64)
     for i in range(depth):
         folded = shingles.mix(folded * np.uint64(65537) + values[:, :, i] + np.uint64(1))
-    first = np.full((len(sigs), len(sigs)), TREES, np.int16)
+    left, right = (folded if x is None else folded[x] for x in (rows, columns))
+    first = np.full((len(left), len(right)), TREES, np.int8)
     for t in range(TREES - 1, -1, -1):
-        first[folded[:, t][:, None] == folded[:, t][None, :]] = t
+        first[left[:, t][:, None] == right[:, t][None, :]] = t
     return first
 
 
-def roots(linked: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric adjacency matrix, the row of least ``order`` in its component."""
-    root = np.arange(len(linked))
-    best = order.copy()
+def least_linked(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of an adjacency matrix, the least number (``left``, ``right``) in its component."""
+    far = np.iinfo(np.int64).max
     while True:
-        near = np.where(linked, best[None, :], np.iinfo(best.dtype).max).min(axis=1)
-        new = np.minimum(best, near)
-        if (new == best).all():
-            break
-        best = new
-    at = np.argsort(order)
-    root = at[best]
-    return root
+        new_left = np.minimum(left, np.where(linked, right[None, :], far).min(axis=1))
+        new_right = np.minimum(right, np.where(linked, new_left[:, None], far).min(axis=0))
+        if (new_left == left).all() and (new_right == right).all():
+            return left, right
+        left, right = new_left, new_right
 
 
-def verify_block(threshold: float, depth: int, tree: int, cross: bool, sides: np.ndarray, nodes: list[bytes], n_docs: np.ndarray, sigs: list[bytes], sets: list[np.ndarray]) -> list[tuple]:
+def verify_block(threshold: float, depth: int, tree: int, cross: bool, sides: np.ndarray, nodes: list[bytes], n_docs: np.ndarray, sigs: list[bytes], texts: list[str]) -> list[tuple]:
     """A row (node, root, links, linked documents) for each text with a link that belongs to this block."""
-    sizes = np.array([len(s) for s in sets], np.float64)
-    both = overlaps(sets)
-    similar = both / (sizes[:, None] + sizes[None, :] - both)
-    ok = similar >= threshold - 1e-9
-    if ok.sum() == len(sets):
+    low = np.flatnonzero(sides == sides.min())
+    high = np.flatnonzero(sides != sides.min()) if cross else low
+    if not len(high):
         return []
-    ok &= first_common_tree(sigs, depth) == tree
-    ok[np.diag_indices(len(sets))] = False
-    if cross:
-        ok &= sides[:, None] != sides[None, :]
-    has = np.flatnonzero(ok.any(axis=1))
-    if not len(has):
+    owner, shingle = word_shingles(texts)
+    sizes = np.bincount(owner, minlength=len(texts)).astype(np.float32)
+    both = overlaps(owner, shingle, len(texts), low, high)
+    ok = both >= (threshold - 1e-9) * (sizes[low][:, None].astype(np.float64) + sizes[high][None, :] - both)
+    if not cross:
+        ok[np.diag_indices(len(low))] = False
+    if ok.any():
+        ok &= first_common_tree(sigs, depth, low, high) == tree
+    if not ok.any():
         return []
+    by_order = sorted(range(len(nodes)), key=nodes.__getitem__)
     order = np.empty(len(nodes), np.int64)
-    order[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
-    root = roots(ok, order)
-    return [(nodes[i], nodes[root[i]], int(ok[i].sum()), int(n_docs[ok[i]].sum())) for i in has]
-
-
-def verified(members: DataFrame, sets: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """FOUND rows of all pairs that share a prefix of ``depth``."""
-    rows = members.withColumn("key", F.xxhash64("tree", F.expr(f"substring(prefix, 1, {2 * depth})"))).select("key", "tree", "set")
-    buckets = rows.groupBy("key", "tree").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(set))").alias("who")).where("n > 1")
-    # trees often hold the same bucket; the first tree's stands for all
-    kept = buckets.groupBy("n", "who").agg(F.min(F.struct("tree", "key")).alias("b")).select("n", "b.key")
-    rows = rows.join(common.written(kept, "buckets"), "key")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    order[by_order] = np.arange(len(nodes))
+    left, right = least_linked(ok, order[low], order[high])
+    ends = [(low, left, ok, n_docs[high])] + ([(high, right, ok.T, n_docs[low])] if cross else [])
+    out = []
+    for members, root, linked, weights in ends:
+        links, docs = linked.sum(axis=1), linked @ weights
+        out += [(nodes[members[i]], nodes[by_order[root[i]]], int(links[i]), int(docs[i])) for i in np.flatnonzero(links)]
+    return out
+
+
+def verified(members: DataFrame, texts: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """FOUND rows of all pairs in the buckets of ``members``."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    rows = members.withColumn("blocks", F.least(blocks, F.col("n").cast("int")))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "tree", "set", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    joined = rows.join(sets, "set")
+    joined = rows.join(texts, "set")
     schema = common.arrow_schema(FOUND)
 
     def block(key, part):
         _, i, j = (k.as_py() for k in key)
-        get = lambda name: part.column(name).to_pylist()
-        arrays = [np.frombuffer(x, np.uint64) for x in get("shingles")]
-        found = verify_block(threshold, depth, get("tree")[0], i != j, np.array(get("side")), get("node"), np.array(get("n_docs")), get("sig"), arrays) if len(arrays) > 1 else []
+        found = []
+        if part.num_rows > 1:
+            get = lambda name: part.column(name).to_pylist()
+            contents = [x.decode("utf-8", "replace") for x in common.raw(part.column("text").combine_chunks())]
+            found = verify_block(threshold, depth, get("tree")[0], i != j, np.array(get("side")), get("node"), np.array(get("n_docs")), get("sig"), contents)
         columns = list(zip(*found, strict=True)) or [[]] * len(schema)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -207,32 +225,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each document: doc (its key), node and n_docs (first document and size of its
     class of equal shingle sets), n_links (other classes of similarity ``threshold`` or more),
     n_linked_docs (documents linked, copies included) and root (first document of the connected class)."""
+    spark, depth = df.sparkSession, prefix_depth(threshold, recall)
     src = df.select(id_col, text_col)
-    sketch = common.written(sketches(src, id_col, text_col), "sketches")
-    classes = common.written(sketch.groupBy("set").agg(F.min("doc").alias("node"), F.count("*").alias("n_docs"), F.first("sig").alias("sig")), "classes")
-    members = common.written(trie_members(classes), "trie")
-    sets = common.written(shingle_sets(src, classes, members, id_col, text_col), "shingles")
-    found = common.written(verified(members, sets, prefix_depth(threshold, recall), threshold), "links")
-    links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("n_linked_docs"))
-    roots_of = components.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = classes.drop("sig").join(links, "node", "left").join(roots_of, "node", "left")
-    known = known.select("set", "node", "n_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("n_linked_docs", F.lit(0)) + F.col("n_docs") - 1).alias("n_linked_docs"), F.coalesce("root", "node").alias("root"))
-    known = common.written(known, "classes")
+    with common.scope(spark):
+        sketch = common.written(sketches(src, id_col, text_col), "sketches", keep=True)
+        first = F.min(F.struct("doc", "size")).alias("first")
+        classes = sketch.groupBy("set").agg(first, F.count("*").alias("n_docs"), F.first("sig").alias("sig"))
+        classes = common.written(classes.select("set", "first.size", F.col("first.doc").alias("node"), "n_docs", "sig"), "classes")
+        members = common.written(trie_members(classes, depth), "trie")
+        members = common.written(distinct_buckets(members), "members")
+        texts = common.written(member_texts(src, classes, members, id_col, text_col), "texts")
+        found = common.written(verified(members, texts, depth, threshold), "links")
+        links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("n_linked_docs"))
+        roots_of = components.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        known = classes.drop("sig", "size").join(links, "node", "left").join(roots_of, "node", "left")
+        known = known.select("set", "node", "n_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("n_linked_docs", F.lit(0)) + F.col("n_docs") - 1).alias("n_linked_docs"), F.coalesce("root", "node").alias("root"))
+        known = common.written(known, "known", keep=True)
     return sketch.select("doc", "set").hint("merge").join(known, "set").drop("set")
 
 
-def id_of(key: str) -> F.Column:
-    """The doc_id in a document key; null where the document had none (shared with the greatest long)."""
-    head = F.substring(key, 1, 8)
-    return F.when(F.hex(head) != "F" * 16, F.conv(F.hex(head), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63))))
-
-
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of ``df`` without near copies: of each connected class only its first document, once."""
     first = near_duplicates(df, id_col, text_col, threshold).where("doc = root").select(F.col("doc").alias("__tm_doc")).distinct()
-    rows = with_doc_key(df, id_col, text_col).hint("merge").join(first, "__tm_doc", "left_semi")
-    once = rows.withColumn("__tm_n", F.row_number().over(Window.partitionBy("__tm_doc").orderBy("__tm_doc")))
-    return once.where("__tm_n = 1").select(*df.columns)
+    rows = df.withColumn("__tm_doc", common.doc_key(id_col, text_col)).hint("merge").join(first, "__tm_doc", "left_semi")
+    return rows.dropDuplicates(["__tm_doc"]).select(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,24 @@
 Words are the lower-cased text split at white space. A shingle is five
 consecutive words; a text of one to four words is one shingle of all its
 words, and a text without words is one shingle of no word. A shingle's hash
-is a polynomial of its UTF-8 bytes (words joined by one space) modulo 2**64,
-finished by a mixing step, so that all shingles of a text come from one
-prefix sum.
+is a sum of its words' 64-bit hashes, each times an odd number of its place,
+finished by a mixing step. Long texts are taken apart in pieces that end at
+white space.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 
 WORDS = 5
-CHUNK_WORDS = 100_000
+PIECE = 1 << 20
+REMEMBERED = 500_000
+WHITE = re.compile(r"\s")
+PLACES = np.random.default_rng(11).integers(0, 2**63, WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = pow(BASE, -1, 2**64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -37,32 +44,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+_word_hash = _WordHashes()
 
 
-def _hashes(part: list[str], n: int) -> np.ndarray:
-    data = np.frombuffer(" ".join(part).encode("utf-8", "surrogatepass"), np.uint8)
-    up, down = power_table(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    gaps = np.flatnonzero(data == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
-    m = max(1, len(part) - n + 1)
-    first, last = starts[:m], ends[min(n, len(part)) - 1 :]
-    return mix((total[last] - total[first]) * down[first])
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about PIECE characters, cut before white space; a word is never cut."""
+    low = 0
+    while len(text) - low > PIECE and (cut := WHITE.search(text, low + PIECE)):
+        yield text[low : cut.start()]
+        low = cut.start()
+    yield text[low:] if low else text
+
+
+def words(text: str | None) -> list[str]:
+    return (text or "").lower().split()
 
 
 def in_order(text: str | None, n: int = WORDS) -> np.ndarray:
     """The hash of every shingle in the order of the text."""
-    all_words = words(text)
-    if not all_words:
-        return np.zeros(1, np.uint64)
-    if len(all_words) <= CHUNK_WORDS:
-        return _hashes(all_words, n)
-    parts = [_hashes(all_words[i : i + CHUNK_WORDS + n - 1], n) for i in range(0, len(all_words) - n + 1, CHUNK_WORDS)]
-    return np.concatenate(parts)
+    parts = []
+    for piece in pieces(text or ""):
+        found = words(piece)
+        parts.append(np.fromiter(map(_word_hash.__getitem__, found), np.uint64, len(found)))
+    each = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    width = min(n, len(each))
+    total = np.full(max(1, len(each) - n + 1), width, np.uint64)
+    for place in range(width):
+        total += each[place : place + len(total)] * PLACES[place]
+    return mix(total)
 
 
 def distinct(text: str | None, n: int = WORDS) -> np.ndarray:
