@@ -42,7 +42,7 @@ from tidemark.llm import common, components, shingles
 from tidemark.llm.common import id_of
 
 TREES, DEPTH = 32, 8
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 DENSE = 1 << 22
 
 SKETCH = T.StructType([T.StructField("doc", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())])
@@ -136,8 +136,9 @@ def overlaps(owner: np.ndarray, shingle: np.ndarray, n: int, rows: np.ndarray, c
     order = np.argsort(feature, kind="stable")
     owner, feature = owner[order], feature[order]
     out = np.zeros((len(rows), len(columns)), np.float32)
-    step = max(64, DENSE // n)
-    for low in range(0, int(feature[-1]) + 1 if len(feature) else 0, step):
+    n_features = int(feature[-1]) + 1 if len(feature) else 0
+    step = max(64, min(DENSE // n, n_features))
+    for low in range(0, n_features, step):
         a, b = np.searchsorted(feature, [low, low + step])
         dense = np.zeros((n, step), np.float32)
         dense[owner[a:b], feature[a:b] - low] = 1
