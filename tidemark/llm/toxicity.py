@@ -5,6 +5,7 @@ characters, then the word. A unit's rate in a class, relative to its share of
 the whole corpus, is estimated with an informative Dirichlet prior: the corpus
 count gives the base measure, and the prefix before it in the chain gives the
 prior mean, R_c(u) = (y_c(u) + KAPPA * R_c(parent)) / (n_c * q(u) + KAPPA).
+Units in fewer than MIN_DOCS labelled documents have no rate of their own.
 The log-odds of a unit are log(R_toxic / R_clean); a unit is kept where they
 differ from zero by Z standard deviations, or clearly from its kept parent's,
 and a word takes the log-odds of the longest kept unit of its chain. So unseen
@@ -22,12 +23,19 @@ is significant if its expected count K n exp(-LAMBDA S) is at most E_MAX. A logi
 curve turns the best segment's -ln E and the number of significant segments
 into a probability; it is fitted on labelled documents that gave no counts.
 
-Words of labelled documents come from at most ``max_labelled`` training rows
-(those of least hash), so the model's size does not grow with the corpus;
-corpus counts are over all documents. Labels, language, source and doc_id are
-never inputs of a score.
+KAPPA, Z and the rest were chosen by cross-validation within the rows that are not
+held out (``choose.py`` in the tests' folder says how).
 
-Defined cases: null text is empty; a text without words gets the score of no
+Words of labelled documents come from at most ``max_labelled`` training rows
+(those of least hash; where a doc_id repeats, the text of least hash is the
+labelled one), so the model's size does not grow with the corpus; corpus counts are
+over all documents. Calibration is sums and histograms taken by the executors:
+token scores in thousandths, features in hundredths. Labels, language, source
+and doc_id are never inputs of a score.
+
+Defined cases: very long texts are scanned whole by the worker that reads them;
+columns named score or passages are replaced, others kept; an empty table gives
+an empty result; null text is empty; a text without words gets the score of no
 evidence; null or repeated labels: null is no label, a document with any toxic
 label is toxic; without training labels of both classes every score is 0.5 if
 there are none, else near the class that there is.
@@ -216,13 +224,14 @@ def solve_lambda(scores: Counter, n: int) -> float:
     return (low + high) / 2
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Weights by Newton's method with an L2 penalty on all but the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1e-2) -> np.ndarray:
+    """Weights by Newton's method with an L2 penalty on all but the constant; rows count ``weight`` times."""
+    weight = np.ones(len(y)) if weight is None else weight
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6] + [penalty] * (x.shape[1] - 1)) * max(len(y), 1) / 100
+    ridge = np.diag([1e-6] + [penalty] * (x.shape[1] - 1)) * max(weight.sum(), 1) / 100
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (weight * (p * (1 - p) + 1e-9))[:, None]) + ridge, x.T @ (weight * (y - p)) - ridge @ w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -248,38 +257,60 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("toxic"))
     sample = _sampled(known, max_labelled).withColumn("half", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
-    texts = common.written(texts.select("text", "toxic", "half"), "labelled-texts")
-    counted = count_units(texts.where("half = 0").select("text", "toxic")).where(F.col("toxic") + F.col("clean") >= MIN_DOCS)
-    train = {r.unit: (r.toxic, r.clean) for r in counted.toLocalIterator()}
-    if not train:
-        return Model()
-    allowed = spark.sparkContext.broadcast(set(train))
-    everywhere = count_units(docs.select(F.col(text_col).alias("text"), F.lit(0).alias("toxic")), allowed)
-    model = Model(log_odds(train, {r.unit: r.clean for r in everywhere.toLocalIterator()}))
-    allowed.unpersist()
-    return _calibrated(model, texts.where("half = 1"))
-
-
-def _calibrated(model: Model, texts: DataFrame) -> Model:
-    out = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("found", T.ArrayType(T.DoubleType())), T.StructField("positive", T.ArrayType(T.DoubleType()))])
-    schema = common.arrow_schema(out)
+    with common.scope(spark):
+        texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
+        texts = texts.groupBy("_id").agg(F.min_by(F.struct("text", "toxic", "half"), F.xxhash64("text")).alias("r"))
+        texts = common.written(texts.select("r.*"), "labelled-texts")
+        counted = count_units(texts.where("half = 0").select("text", "toxic")).where(F.col("toxic") + F.col("clean") >= MIN_DOCS)
+        train = {r.unit: (r.toxic, r.clean) for r in counted.toLocalIterator()}
+        if not train:
+            return Model()
+        allowed = spark.sparkContext.broadcast(set(train))
+        everywhere = count_units(docs.select(F.col(text_col).alias("text"), F.lit(0).alias("toxic")), allowed)
+        model = Model(log_odds(train, {r.unit: r.clean for r in everywhere.toLocalIterator()}))
+        allowed.unpersist()
+        return calibrated(model, texts.where("half = 1"))
+
+
+SCANS = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("found", T.ArrayType(T.DoubleType())), T.StructField("positive", T.ArrayType(T.DoubleType()))])
+
+
+def scans(model: Model, texts: DataFrame) -> DataFrame:
+    """(toxic, n, found, positive): tokens, segment scores and positive token scores of each text."""
+    schema = common.arrow_schema(SCANS)
 
     def rows(batch):
-        scans = [model.scan(text) for text in common.strings(batch.column(0))]
-        yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([n for n, _, _ in scans], pa.int64()), pa.array([[s for _, _, s in f] for _, f, _ in scans], schema.field(2).type), pa.array([p for _, _, p in scans], schema.field(3).type)], schema=schema)
-
-    seen = common.map_arrow(texts.select("text", "toxic"), rows, out).collect()
-    clean = [r for r in seen if not r.toxic]
-    model.lam = solve_lambda(Counter(round(s, 3) for r in clean for s in r.positive), sum(r.n for r in clean))
-    weight = sum(r.n * np.exp(-model.lam * max(r.found, default=0.0)) for r in clean)
-    model.k = float(min(1.0, len(clean) / weight)) if weight else 1.0
-    if seen:
-        x = np.array([(1.0, a / 10, b) for a, b in (model.features(r.n, [(0, 0, s) for s in r.found]) for r in seen)])
-        model.curve = tuple(float(w) for w in logistic(x, np.array([float(bool(r.toxic)) for r in seen])))
+        each = [model.scan(text) for text in common.strings(batch.column(0))]
+        yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array([n for n, _, _ in each], pa.int64()), pa.array([[s for _, _, s in f] for _, f, _ in each], schema.field(2).type), pa.array([p for _, _, p in each], schema.field(3).type)], schema=schema)
+
+    return common.map_arrow(texts.select("text", "toxic"), rows, SCANS)
+
+
+def calibrated(model: Model, texts: DataFrame) -> Model:
+    """The model with lambda, K and the curve from (text, toxic) rows that gave no counts."""
+    seen = common.written(scans(model, texts), "scans")
+    clean = seen.where("coalesce(toxic, 0) = 0")
+    histogram = clean.select(F.explode("positive").alias("s")).groupBy(F.round("s", 3).alias("s")).agg(F.count("*").alias("n")).collect()
+    model.lam = solve_lambda(Counter({r.s: r.n for r in histogram}), clean.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    best = F.coalesce(F.array_max("found"), F.lit(0.0))
+    total, weight = clean.agg(F.count("*"), F.sum(F.col("n") * F.exp(-F.lit(model.lam) * best))).first()
+    model.k = float(min(1.0, total / weight)) if weight else 1.0
+    cells = seen.select("toxic", *features_of(model)).groupBy(F.coalesce("toxic", F.lit(0)).alias("toxic"), F.round("a", 2).alias("a"), "b").agg(F.count("*").alias("n")).collect()
+    if cells:
+        x = np.array([(1.0, r.a / 10, r.b) for r in cells])
+        model.curve = tuple(float(w) for w in logistic(x, np.array([float(bool(r.toxic)) for r in cells]), np.array([float(r.n) for r in cells])))
     return model.bare()
 
 
+def features_of(model: Model) -> list:
+    """``Model.features`` of SCANS rows, as columns a and b."""
+    e = F.transform("found", lambda s: F.greatest(F.lit(model.k) * F.col("n") * F.exp(-F.lit(model.lam) * s), F.lit(1e-300)))
+    some = F.size("found") > 0
+    a = F.when(some, F.least(F.greatest(-F.log(F.array_min(e)), F.lit(NO_SEGMENT)), F.lit(CERTAIN))).otherwise(NO_SEGMENT)
+    b = F.when(some, F.log1p(F.size(F.filter(e, lambda x: x <= E_MAX)).cast("double"))).otherwise(0.0)
+    return [a.alias("a"), b.alias("b")]
+
+
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``df``, ``score`` and ``passages``: (first, last, score, expected) of each significant segment, in tokens."""
     keep = df.drop("score", "passages")
