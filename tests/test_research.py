@@ -35,10 +35,29 @@ def test_splits(spark):
     assert got == {"train": (day(1), day(24)), "validation": (day(24), day(28)), "test": (day(28), day(1, 8))}
 
 
-def test_walk_windows_are_half_open():
-    got = research.walk_windows(dt.date(2026, 7, 1), dt.date(2026, 7, 31))
-    assert [(a.day, b.day, c.day) for _, a, b, c in got] == [(15, 16, 21), (20, 21, 26), (25, 26, 31)]
-    assert research.walk_windows(dt.date(2026, 7, 1), dt.date(2026, 7, 10)) == []
+def test_walk_windows_are_half_open(spark):
+    got = research.walk_windows(research_month(spark)).orderBy("step").collect()
+    assert [(r.train_start.day, r.train_end.day, r.test_start.day, r.test_end.day) for r in got] == [(1, 15, 16, 21), (1, 20, 21, 26), (1, 25, 26, 31)]
+    assert research.walk_windows(research_month(spark, 10)).count() == 0
+
+
+@pytest.mark.parametrize(("days", "test_days"), [(19, 5), (31, 5), (30, 3), (28, 7)])
+def test_steps_hold_the_bars_of_their_windows(spark, days, test_days):
+    df = research_month(spark, days)
+    windows = research.walk_windows(df, ("instrument",), test_days).collect()
+    span = research._span(df, ("instrument",), test_days)
+    times = sorted(r.timestamp for r in df.collect())
+    for part in ("train", "test"):
+        got = sorted((r.step, r.timestamp) for r in research.in_steps(df, span, part, ("instrument",), test_days).collect())
+        assert got == sorted((w.step, t) for w in windows for t in times if w[f"{part}_start"] <= t < w[f"{part}_end"])
+
+
+def test_grid_table_equals_grid_configs(spark):
+    from pyspark.sql import functions as F
+
+    axes = spark.range(1).select(*[F.array(*map(F.lit, research.GRID[p])).alias(p) for p in research.PARAMETERS])
+    got = [tuple(r) for r in research.grid_table(axes).orderBy("experiment_id").collect()]
+    assert got == [(i, c.fast_ema, c.slow_ema, c.angle_threshold, c.angle_lookback) for i, c in research.grid_configs()]
 
 
 def test_walk_forward_uses_training_bars_only(spark):
@@ -128,7 +147,7 @@ def test_registry_and_months(spark):
     rows = signals.signals_for_many(df, configs, name="experiment_id")
     trades, _, found = backtest.run_backtest(rows, by=["experiment_id", "instrument"])
     table = research.registry(found, configs, "d1").collect()
-    assert {r.config_hash for r in table} == {c.digest() for _, c in configs} and {r.dataset for r in table} == {"d1"}
+    assert {r.config_hash for r in table} == {c.digest() for _, c in configs} and {(r.dataset_version, r.strategy_version, r.engine_version) for r in table} == {("d1", "ema_9_15_angle_v1", "0.1.0")}
     assert {r.month for r in research.monthly_performance(trades, ("experiment_id",)).collect()} == {"2026-07"}
 
 

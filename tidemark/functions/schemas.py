@@ -28,6 +28,15 @@ SIGNALS = struct("timestamp ntz, signal_type string, crossover boolean, ema_fast
 TRADES = struct("trade_id long, entry_time ntz, exit_time ntz, direction string, entry_price double, exit_price double, quantity long, gross_pnl double, costs double, net_pnl double, holding_periods long, closed_at_end long")
 EQUITY = struct("timestamp ntz, equity double, unrealized double, realized double")
 
+# Versions that results name.
+STRATEGY_VERSION, COST_MODEL_VERSION, ENGINE_VERSION = "ema_9_15_angle_v1", "india_futures_v1", "0.1.0"
+
+
+def versions(dataset: str) -> dict[str, str]:
+    """What a result was made with; ``dataset`` names the data, for example nifty_futures_july_2026_v1."""
+    return {"dataset_version": dataset, "strategy_version": STRATEGY_VERSION, "cost_model_version": COST_MODEL_VERSION, "engine_version": ENGINE_VERSION}
+
+
 MODES = ("crossover", "crossover_and_angle", "crossover_angle_and_trend")
 
 
@@ -37,6 +46,15 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+STRATEGY_RULES = {
+    f"signal_mode is one of {MODES}": lambda c: c.signal_mode in MODES,
+    "0 < fast_ema < slow_ema": lambda c: 0 < c.fast_ema < c.slow_ema,
+    "angle_threshold and angle_scale are 0 or more": lambda c: min(c.angle_threshold, c.angle_scale) >= 0,
+    "angle_lookback is 1 or more": lambda c: c.angle_lookback >= 1,
+}
+
+
+# The defaults of the strategy.
 @dataclass(frozen=True)
 class StrategyConfig:
     """Parameters of the crossover strategy; invalid values raise ValueError."""
@@ -49,16 +67,9 @@ class StrategyConfig:
     signal_mode: str = "crossover_and_angle"
 
     def __post_init__(self):
-        if self.fast_ema <= 0:
-            raise ValueError("fast_ema must be positive")
-        if self.slow_ema <= self.fast_ema:
-            raise ValueError("slow_ema must exceed fast_ema")
-        if self.angle_threshold < 0 or self.angle_scale < 0:
-            raise ValueError("angle_threshold and angle_scale cannot be negative")
-        if self.angle_lookback < 1:
-            raise ValueError("angle_lookback must be at least 1")
-        if self.signal_mode not in MODES:
-            raise ValueError(f"signal_mode must be one of {MODES}")
+        broken = [said for said, holds in STRATEGY_RULES.items() if not holds(self)]
+        if broken:
+            raise ValueError("; ".join(broken))
 
     def digest(self) -> str:
         """A stable name of the parameters: sha256 of canonical JSON, shortened."""
@@ -90,6 +101,7 @@ class SlippageConfig:
     tick_size: float = 0.05
 
 
+# The defaults of a backtest.
 @dataclass(frozen=True)
 class BacktestConfig:
     initial_capital: float = 1_000_000.0

@@ -25,31 +25,45 @@ def sign(signal_type: str = "signal_type") -> Column:
     return F.when(F.col(signal_type) == "BUY", 1).when(F.col(signal_type) == "SELL", -1).otherwise(0)
 
 
-def positions(signals: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
-    """The executable signals: bar and time of the fill, its nominal price, position after it and before it.
-
-    ``signals`` needs open and close. A signal fills at the open of the next
-    bar; one on the last bar never does.
-    """
+def executable(bars: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """``bars`` (open, close) with what a signal on them would fill at: the next bar's number, open and time, and the series' last bar."""
     w = Window.partitionBy(*by).orderBy("timestamp")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = signals.select(*by, "timestamp", "open", "close", sign().alias("sig"))
-    rows = rows.withColumns({
-        "bar": F.row_number().over(w), "fill": F.lead("open").over(w), "fill_time": F.lead("timestamp").over(w),
+    return bars.withColumns({
+        "fill": F.lead("open").over(w), "fill_time": F.lead("timestamp").over(w), "fill_bar": F.row_number().over(w) + 1,
         "last_close": F.last("close").over(whole), "last_time": F.last("timestamp").over(whole), "last_bar": F.count("*").over(whole),
     })
-    rows = rows.where((F.col("sig") != 0) & F.col("fill_time").isNotNull()).withColumn("fill_bar", F.col("bar") + 1)
+
+
+def held(signals: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """The signals (``executable`` rows with sig 1 or -1) that fill, with the position after and before; one on the last bar never does."""
+    w = Window.partitionBy(*by).orderBy("timestamp")
+    rows = signals.where((F.col("sig") != 0) & F.col("fill_time").isNotNull())
     before = F.lag("sig").over(w)
     rows = rows.withColumn("pin", F.when(before.isNull() | (before == F.col("sig")), F.col("sig")))
     rows = rows.withColumn("side", F.last("pin", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("position", F.when(F.col("side") == F.col("sig"), F.col("sig")).otherwise(0))
-    return rows.withColumn("position_before", F.lag("position", 1, 0).over(w)).drop("pin", "side", "bar")
+    return rows.withColumn("position_before", F.lag("position", 1, 0).over(w)).drop("pin", "side")
+
+
+def positions(signals: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """The executable signals: bar and time of the fill, its nominal price, position after it and before it.
+
+    ``signals`` needs open and close. A signal fills at the open of the next
+    bar; one on the last bar never does.
+    """
+    return held(executable(signals.select(*by, "timestamp", "open", "close", sign().alias("sig")), by), by)
 
 
 def run_trades(signals: DataFrame, config: BacktestConfig = BacktestConfig(), by: Sequence[str] = ("instrument",)) -> DataFrame:
     """One row for each trade; a position open at the end is closed at the last close (closed_at_end = 1)."""
+    return trades_of(positions(signals, by), config, by)
+
+
+def trades_of(rows: DataFrame, config: BacktestConfig = BacktestConfig(), by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """The trades of ``held`` rows."""
     w = Window.partitionBy(*by).orderBy("fill_bar")
-    moves = positions(signals, by).where("position <> position_before")
+    moves = rows.where("position <> position_before")
     moves = moves.withColumns({"exit_fill": F.lead("fill").over(w), "exit_at": F.lead("fill_time").over(w), "exit_bar": F.lead("fill_bar").over(w)})
     opened = moves.where("position <> 0")
     is_long, at_end = F.col("position") == 1, F.col("exit_bar").isNull()
@@ -74,13 +88,17 @@ def equity_curve(bars: DataFrame, trades: DataFrame, config: BacktestConfig = Ba
     A close at the end of the data is not in the curve, which marks the open
     position to market there.
     """
-    w = Window.partitionBy(*by).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy("timestamp", "kind").rowsBetween(Window.unboundedPreceding, 0)
     way = F.when(F.col("direction") == "LONG", 1).otherwise(-1)
-    opens = trades.select(*by, F.col("entry_time").alias("timestamp"), F.struct(way.alias("way"), F.col("entry_price").alias("price"), F.col("quantity").alias("quantity")).alias("held"), F.lit(None).cast("double").alias("net"))
+    opened = F.struct(way.alias("way"), F.col("entry_price").alias("price"), F.col("quantity").alias("quantity"))
     flat = F.struct(F.lit(0).alias("way"), F.lit(0.0).alias("price"), F.lit(0).cast("long").alias("quantity"))
-    closes = trades.where("closed_at_end = 0").select(*by, F.col("exit_time").alias("timestamp"), flat.alias("held"), F.col("net_pnl").alias("net"))
-    rows = bars.select(*by, "timestamp", "close").join(opens.unionByName(closes), [*by, "timestamp"], "left")
-    rows = rows.withColumns({"held": F.last("held", ignorenulls=True).over(w), "realized": F.sum(F.coalesce("net", F.lit(0.0))).over(w)})
+    none = F.lit(None).cast("double")
+    event = lambda at, held, net: F.struct(F.col(at).alias("timestamp"), held.alias("held"), net.alias("net"))
+    both = F.array(event("entry_time", opened, none), F.when(F.col("closed_at_end") == 0, event("exit_time", flat, F.col("net_pnl"))))
+    # a trade's events are rows of their own just before their bar, so that one shuffle by series serves all windows
+    events = trades.select(*by, F.explode(both).alias("e")).where("e IS NOT NULL").select(*by, "e.timestamp", F.lit(0).alias("kind"), none.alias("close"), "e.held", "e.net")
+    marks = bars.select(*by, "timestamp", F.lit(1).alias("kind"), "close", F.lit(None).cast(events.schema["held"].dataType).alias("held"), none.alias("net"))
+    rows = marks.unionByName(events).withColumns({"held": F.last("held", ignorenulls=True).over(w), "realized": F.sum(F.coalesce("net", F.lit(0.0))).over(w)}).where("kind = 1")
     rows = rows.withColumn("unrealized", F.coalesce((F.col("close") - F.col("held.price")) * F.col("held.quantity") * F.col("held.way"), F.lit(0.0)))
     return rows.select(*by, "timestamp", (F.lit(config.initial_capital) + F.col("realized") + F.col("unrealized")).alias("equity"), "unrealized", "realized")
 

@@ -46,41 +46,56 @@ def drawdowns(equity: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFra
     w = Window.partitionBy(*by).orderBy("timestamp")
     rows = equity.withColumn("peak", F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumns({"dd_value": F.col("peak") - F.col("equity"), "dd_pct": F.when(F.col("peak") > 0, F.try_divide(F.col("peak") - F.col("equity"), F.col("peak"))).otherwise(0.0)})
-    rows = rows.withColumn("__island", F.count_if(F.col("equity") >= F.col("peak")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    under = F.row_number().over(Window.partitionBy(*by, "__island").orderBy("timestamp"))
-    return rows.withColumn("dd_bars", F.when(F.col("equity") < F.col("peak"), under - F.when(F.col("__island") > 0, 1).otherwise(0)).otherwise(0).cast("long")).drop("__island")
+    up_to = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__n", F.row_number().over(w))
+    rows = rows.withColumn("__top", F.max(F.when(F.col("equity") >= F.col("peak"), F.col("__n"))).over(up_to))
+    return rows.withColumn("dd_bars", F.when(F.col("equity") < F.col("peak"), F.col("__n") - F.coalesce("__top", F.lit(0))).otherwise(0).cast("long")).drop("__n", "__top")
+
+
+def curve_days(equity: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """Each day of a curve in one pass: its last equity, the worst drawdown (share, minus the bar's time, value) and the longest stretch under a peak."""
+    worst = F.max(F.struct("dd_pct", -F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', timestamp)"), "dd_value")).alias("worst")
+    return drawdowns(equity, by).groupBy(*by, F.to_date("timestamp").alias("day_of")).agg(F.max_by("equity", "timestamp").alias("equity"), worst, F.max("dd_bars").alias("dd_bars"))
+
+
+def _worst(days: DataFrame) -> list:
+    return [F.max("worst")["dd_pct"].alias("max_drawdown_pct"), F.max("worst")["dd_value"].alias("max_drawdown_value"), F.max("dd_bars").alias("max_drawdown_duration_bars")]
 
 
 def drawdown_summary(equity: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
     """Largest drawdown share, the value at the first bar that has it, and the longest stretch under a peak."""
-    rows = drawdowns(equity, by).withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("timestamp")))
-    return rows.groupBy(*by).agg(F.max("dd_pct").alias("max_drawdown_pct"), F.max_by("dd_value", F.struct("dd_pct", -F.col("__n"))).alias("max_drawdown_value"), F.max("dd_bars").alias("max_drawdown_duration_bars"))
+    days = curve_days(equity, by)
+    return days.groupBy(*by).agg(*_worst(days))
 
 
 def daily_returns(equity: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
     """Each day's last equity and its change from the day before; the first day has none."""
     days = equity.groupBy(*by, F.to_date("timestamp").alias("day_of")).agg(F.max_by("equity", "timestamp").alias("equity"))
+    return with_returns(days, by)
+
+
+def with_returns(days: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
     before = F.lag("equity").over(Window.partitionBy(*by).orderBy("day_of"))
     return days.withColumn("daily_return", F.when(before > 0, F.try_divide(F.col("equity") - before, before)).when(before.isNotNull(), 0.0))
 
 
-def return_summary(equity: DataFrame, capital: float, by: Sequence[str] = ("instrument",)) -> DataFrame:
-    """Days, total return, Sharpe and Sortino of daily returns."""
+def curve_summary(equity: DataFrame, capital: float, by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """Drawdown, days, total return, Sharpe and Sortino of daily returns, from one pass over the curve."""
     r = F.col("daily_return")
-    rows = daily_returns(equity, by).groupBy(*by).agg(
-        F.count("*").alias("trading_days"), F.max_by("equity", "day_of").alias("__last"), F.avg(r).alias("__mean"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("__sd"),
+    days = with_returns(curve_days(equity, by), by)
+    rows = days.groupBy(*by).agg(
+        *_worst(days), F.count("*").alias("trading_days"), F.max_by("equity", "day_of").alias("__last"), F.avg(r).alias("__mean"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("__sd"),
         F.count_if(r < 0).alias("__n"), F.sum(F.when(r < 0, r * r)).alias("__sq"),
     )
     year = F.sqrt(F.lit(YEAR_DAYS))
     down = F.sqrt(F.col("__sq") / F.greatest(F.col("__n") - 1, F.lit(1)))
     ratio = lambda sd: F.when(sd > 0, _or_zero(F.col("__mean"), sd) * year).otherwise(0.0)
-    return rows.select(*by, "trading_days", _or_zero(F.col("__last") - capital, F.lit(capital)).alias("total_return_pct"), ratio(F.col("__sd")).alias("sharpe"), ratio(down).alias("sortino"))
+    return rows.select(*by, "max_drawdown_pct", "max_drawdown_value", "max_drawdown_duration_bars", "trading_days", _or_zero(F.col("__last") - capital, F.lit(capital)).alias("total_return_pct"), ratio(F.col("__sd")).alias("sharpe"), ratio(down).alias("sortino"))
 
 
 def compute_metrics(trades: DataFrame, equity: DataFrame, capital: float = 1_000_000.0, by: Sequence[str] = ("instrument",)) -> DataFrame:
     """One row for each series of ``equity``; what needs trades is 0 or null where there are none."""
     keys = list(by)
-    out = drawdown_summary(equity, by).join(return_summary(equity, capital, by), keys)
-    out = out.join(trade_summary(trades, by), keys, "left").join(streaks(trades, by), keys, "left")
+    out = curve_summary(equity, capital, by).join(trade_summary(trades, by), keys, "left").join(streaks(trades, by), keys, "left")
     calmar = F.when(F.col("max_drawdown_pct") > 0, F.try_divide(F.col("total_return_pct") * YEAR_DAYS / F.greatest(F.col("trading_days"), F.lit(1)), F.col("max_drawdown_pct"))).otherwise(0.0)
     return out.fillna(0, [*ZERO_WITHOUT_TRADES]).withColumn("calmar", F.coalesce(calmar, F.lit(0.0)))
