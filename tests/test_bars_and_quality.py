@@ -117,12 +117,24 @@ def test_faults_are_found(spark, change, name, status, overall):
     assert states[name] == status and found == overall
 
 
-def test_stored_order(spark):
+@pytest.mark.parametrize("chunk", [3, 100_000])
+def test_stored_order(spark, monkeypatch, chunk):
+    monkeypatch.setattr(quality, "STORED_CHUNK", chunk)
     rows = session(1, 20)
     rows[3], rows[9] = rows[9], rows[3]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], candles(spark, rows).schema.add("ord", "long"))
-    found = {r["name"]: r["status"] for r in quality.validate_bars(df, 1, ordinal="ord").collect()}
-    assert found["timestamp_monotonic"] == "fail"
+    found = {r["name"]: (r["status"], r["failures"]) for r in quality.validate_bars(df, 1, place=("ord",)).collect()}
+    times = [r[1] for r in rows]
+    assert found["timestamp_monotonic"] == ("fail", sum(b < a for a, b in zip(times, times[1:], strict=False)))
+    assert quality.stored_order(df, ("instrument", "ord"), ()).first().back == 2
+
+
+def test_details_of_checks(spark):
+    found = {r["name"]: r["details"] for r in quality.validate_bars(candles(spark, session(2, change=hole)), 1).collect()}
+    assert found["daily_bar_counts"] == "1 day(s) with != 375 bars" and found["continuity"] == "1 intraday gaps, ~1 missing bars" and found["open_interest_sanity"] == "0 negative, 0 jumps > 25%"
+    df = candles(spark, session())
+    said = {r["name"]: r["details"] for r in bars.verify_rollup(df, bars.aggregate_bars(df, 5), 5).collect()}
+    assert said["volume_sum"] == "1m=37500 vs 5m=37500" and said["edge_alignment"] == "first=True, last_within=True"
 
 
 def test_null_prices_fail(spark):

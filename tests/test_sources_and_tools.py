@@ -98,6 +98,46 @@ def test_candle_source_reads_a_range_in_each_partition(spark):
     assert [r[0] for p in reader.partitions() for r in reader.read(p)] == ["2026-07-01T09:15:00+05:30", "2026-07-03T09:15:00+05:30"]
 
 
+def answer(request):
+    assert request.method == "GET" and request.path.startswith("/v3/historical-candle/NSE_FO%7C1/minutes/5/2026-07-")
+    return 200, json.dumps({"data": {"candles": [["2026-07-01T09:15:00+05:30", 1, 2, 0.5, 1.5, 10, 7]]}})
+
+
+def test_requests_and_their_answers():
+    from tidemark.sources import requests
+
+    asked = requests.intraday(101, dt.date(2026, 7, 1), dt.date(2026, 7, 31), interval="5", open_interest=False)
+    assert (asked.method, asked.path) == ("POST", "/v2/charts/intraday") and asked.body == {"securityId": "101", "exchangeSegment": "NSE_FNO", "instrument": "FUTIDX", "interval": "5", "oi": "false", "fromDate": "2026-07-01", "toDate": "2026-07-31"}
+    assert requests.expired_history("A|1|30-07-2026", "2026-07-01", "2026-07-30").path.endswith("/A%7C1%7C30-07-2026/1minute/2026-07-30/2026-07-01")
+    assert requests.expired_contracts("NSE_INDEX|Nifty 50", dt.date(2026, 7, 30)).path.endswith("expiry_date=2026-07-30")
+    assert list(requests.spans(dt.date(2026, 7, 1), dt.date(2026, 7, 31), 20)) == [(dt.date(2026, 7, 1), dt.date(2026, 7, 20)), (dt.date(2026, 7, 21), dt.date(2026, 7, 31))]
+    assert requests.payload_rows(200, "") == requests.payload_rows(200, '{"data": null}') == []
+    with pytest.raises(RuntimeError):
+        requests.payload_rows(500, "no")
+
+
+def test_masters_come_from_the_first_address_that_answers(spark):
+    from tidemark.sources import requests
+
+    answers = {"a": (503, ""), "c": (200, "SM_EXPIRY_DATE,SEM_LOT_UNITS\n2026-07-30,50\n")}
+
+    def get(url):
+        if url == "b":
+            raise OSError("no route")
+        return answers[url]
+
+    rows = masters.normalise_master(masters.csv_master(spark, requests.master_text(get, ("a", "b", "c")))).collect()
+    assert [(r.expiry, r.lot_size) for r in rows] == [(dt.date(2026, 7, 30), 50)]
+    with pytest.raises(RuntimeError):
+        requests.master_text(get, ("a", "b"))
+
+
+def test_candle_source_builds_requests():
+    reader = CandleSource({"client": "tests.test_sources_and_tools:answer", "kind": "history", "key": "NSE_FO|1", "request": '{"interval": 5}', "from": "2026-07-01", "to": "2026-07-10", "days": "7"}).reader(None)
+    assert [p.value for p in reader.partitions()] == [("2026-07-01", "2026-07-07"), ("2026-07-08", "2026-07-10")]
+    assert [r[-1] for p in reader.partitions() for r in reader.read(p)] == [7, 7]
+
+
 @pytest.fixture(scope="module")
 def tools(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("tools")
@@ -146,7 +186,7 @@ def test_search_walk_and_report(tools):
     walk = tools.walk_forward_test("2026-07", "15m", "5,9", "15", "20", "1")
     assert walk["summary"]["steps_count"] == 3 and walk["summary"]["oos_total_net_pnl"] == pytest.approx(sum(s["test_net_pnl"] for s in walk["steps"]))
     text = reports.robustness_markdown(tools.robustness("2026-07", ("15m",), {"fast_ema": (5,), "slow_ema": (15,), "angle_threshold": (20.0,), "angle_lookback": (1,)}))
-    assert "## 15m" in text and "| high |" in text
+    assert "## 15m" in text and "| high |" in text and "- train: 2026-07-01 to 2026-07-24" in text and "5 / 15 / 20.0 / 1" in text and "## Reproducibility" in text and "profit factor" in text
 
 
 def test_a_failing_month_is_not_processed(spark, tmp_path):
@@ -162,6 +202,17 @@ def test_a_failing_month_is_not_processed(spark, tmp_path):
         month.process_month(spark, str(tmp_path / "raw"), str(tmp_path / "out"), "2025-01")
 
 
+def test_files_that_are_not_in_order_of_time_are_seen(spark, tmp_path):
+    from tidemark.plans import month
+
+    rows = store.normalise(candles(spark, session(1)).drop("instrument"), CONTRACT)
+    store.write_store(rows.orderBy(F.desc("timestamp")), str(tmp_path / "good"))
+    assert month.validate_month(spark, str(tmp_path / "good"), "2026-07")["overall_status"] == "pass"
+    rows.coalesce(1).orderBy(F.minute("timestamp")).write.parquet(str(tmp_path / "bad" / "month=2026-07" / "tf=1m"))
+    report = month.validate_month(spark, str(tmp_path / "bad"), "2026-07")
+    assert report["overall_status"] == "fail" and report["errors"][0].startswith("timestamp_monotonic")
+
+
 def test_download_with_a_given_client(spark, tmp_path):
     made = Tools(spark, str(tmp_path / "raw"), str(tmp_path / "p"))
     out = made.download_month_data("2026-07", CONTRACT, lambda i, a, b: [[f"{a}T09:15:00+05:30", 1, 2, 0.5, 1.5, 10, 3]])
@@ -184,6 +235,8 @@ def test_command_line_writes_results(spark, tools, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/2026-07/trades_15m").count() == found["total_trades"]
     assert json.loads(outputs.read_text(spark, f"{tmp_path}/2026-07/metrics_15m.json"))[0]["net_pnl"] == found["net_pnl"]
     table = run(spark, ["baseline", "2026-07", *roots])
+    written = outputs.read_text(spark, f"{tmp_path}/2026-07/baseline_report.md")
+    assert "## Reproducibility" in written and "config sha256:" in written and "cost_model_version: india_futures_v1" in written
     assert set(table) == {"A", "B", "C"} and outputs.read_text(spark, f"{tmp_path}/2026-07/baseline_report.md").startswith("# Baseline")
     small = {"fast_ema": (5,), "slow_ema": (15,), "angle_threshold": (20.0,), "angle_lookback": (1,)}
     outputs.write_research(spark, tools, str(tmp_path), "2026-07", ["15m"], small)

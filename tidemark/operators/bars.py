@@ -55,7 +55,7 @@ def broken_ohlc(strict: bool = False) -> Column:
 
 
 def verify_rollup(source: DataFrame, derived: DataFrame, minutes: int, by: Sequence[str] = ()) -> DataFrame:
-    """Five checks (name, status, failures) of bars derived from one-minute bars, for each series of ``by``.
+    """Five checks (name, status, failures, details) of bars derived from one-minute bars, for each series of ``by``.
 
     bucket_size warns; volume_sum, ohlc_integrity, boundary_alignment and
     edge_alignment fail. Each side is read once.
@@ -71,7 +71,16 @@ def verify_rollup(source: DataFrame, derived: DataFrame, minutes: int, by: Seque
     )
     both = left.join(right, keys, "full") if keys else left.crossJoin(right)
     gap = F.abs(F.coalesce("source_volume", F.lit(0)) - F.coalesce("derived_volume", F.lit(0)))
-    edges = F.coalesce((F.col("source_first") == F.col("derived_first")) & (F.col("source_last") - F.col("derived_last") < size), F.lit(False))
-    checks = [("bucket_size", F.col("off_sized"), "warn"), ("volume_sum", gap, "fail"), ("ohlc_integrity", F.col("violations"), "fail"), ("boundary_alignment", F.col("off_grid"), "fail"), ("edge_alignment", F.when(edges, 0).otherwise(1), "fail")]
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.when(F.coalesce(f, F.lit(0)) == 0, "pass").otherwise(s).alias("status"), F.coalesce(f, F.lit(0)).cast("long").alias("failures")) for n, f, s in checks]))
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    first = F.coalesce(F.col("source_first") == F.col("derived_first"), F.lit(False))
+    last = F.coalesce(F.col("source_last") - F.col("derived_last") < size, F.lit(False))
+    said = lambda flag: F.when(flag, "True").otherwise("False")
+    checks = [
+        ("bucket_size", F.col("off_sized"), "warn", F.format_string(f"%d bucket(s) not containing exactly {minutes} bars", whole("off_sized"))),
+        ("volume_sum", gap, "fail", F.format_string(f"1m=%d vs {minutes}m=%d", whole("source_volume"), whole("derived_volume"))),
+        ("ohlc_integrity", F.col("violations"), "fail", F.format_string("%d violations", whole("violations"))),
+        ("boundary_alignment", F.col("off_grid"), "fail", F.format_string(f"%d timestamp(s) off a {minutes}-minute wall-clock grid", whole("off_grid"))),
+        ("edge_alignment", F.when(first & last, 0).otherwise(1), "fail", F.format_string("first=%s, last_within=%s", said(first), said(last))),
+    ]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.when(F.coalesce(f, F.lit(0)) == 0, "pass").otherwise(s).alias("status"), F.coalesce(f, F.lit(0)).cast("long").alias("failures"), d.alias("details")) for n, f, s, d in checks]))
     return both.select(*keys, rows.alias("c")).select(*keys, "c.*")

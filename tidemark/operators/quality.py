@@ -30,32 +30,45 @@ def daily_counts(bars: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFr
     return bars.groupBy(*by, F.to_date("timestamp").alias("day_of")).agg(F.count("*").alias("bars"))
 
 
-def steps(bars: DataFrame, by: Sequence[str] = ("instrument",), ordinal: str | None = None) -> DataFrame:
-    """Bars with what the bar before in order of time says: seconds since (same day), open-interest change, and whether stored order goes back.
-
-    ``ordinal`` is the stored order of rows; without it that check sees none.
-    """
-    day = Window.partitionBy(*by, F.to_date("timestamp")).orderBy("timestamp", *([ordinal] if ordinal else []))
-    before = F.lag("timestamp").over(day)
-    out = bars.withColumn("step_seconds", F.timestamp_diff("SECOND", before, F.col("timestamp")))
+def steps(bars: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """Bars with what the bar before in order of time says: seconds since (same day) and open-interest change."""
+    day = Window.partitionBy(*by, F.to_date("timestamp")).orderBy("timestamp")
+    out = bars.withColumn("step_seconds", F.timestamp_diff("SECOND", F.lag("timestamp").over(day), F.col("timestamp")))
     if "open_interest" in bars.columns:
         old = F.lag("open_interest").over(day)
         out = out.withColumn("oi_change", F.abs(F.col("open_interest") - old) / F.greatest(old.cast("double"), F.lit(1.0)))
-    if ordinal:
-        out = out.withColumn("goes_back", F.coalesce(F.col("timestamp") < F.lag("timestamp").over(Window.partitionBy(*by).orderBy(ordinal)), F.lit(False)))
     return out
 
 
-def validate_bars(bars: DataFrame, interval_minutes: int = 1, by: Sequence[str] = (), ordinal: str | None = None) -> DataFrame:
-    """Eight checks (name, status, failures) for each series of ``by``, and the series' overall status.
+STORED_CHUNK = 100_000
+
+
+def stored_order(bars: DataFrame, place: Sequence[str], by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """(``by``, back): how often the time goes back in stored order. ``place`` names the row number and, before it, columns such as the file.
+
+    Rows are compared within chunks of STORED_CHUNK row numbers, then the chunks'
+    edges, so a series of any length is many tasks'.
+    """
+    *file, row = place
+    rows = bars.select(*by, *file, F.col(row).alias("__row"), "timestamp").withColumn("__chunk", F.floor(F.col("__row") / STORED_CHUNK))
+    inside = Window.partitionBy(*by, *file, "__chunk").orderBy("__row")
+    back = F.coalesce(F.col("timestamp") < F.lag("timestamp").over(inside), F.lit(False))
+    chunks = rows.withColumn("__back", back).groupBy(*by, *file, "__chunk").agg(F.count_if("__back").alias("n"), F.min_by("timestamp", "__row").alias("first"), F.max_by("timestamp", "__row").alias("last"))
+    edge = F.coalesce(F.col("first") < F.lag("last").over(Window.partitionBy(*by).orderBy(*file, "__chunk")), F.lit(False))
+    return chunks.withColumn("__edge", edge.cast("long")).groupBy(*by).agg(F.sum(F.col("n") + F.col("__edge")).alias("back"))
+
+
+def validate_bars(bars: DataFrame, interval_minutes: int = 1, by: Sequence[str] = (), place: Sequence[str] = ()) -> DataFrame:
+    """Eight checks (name, status, failures, details) for each series of ``by``, and the series' overall status.
 
     The order of windows is by time within a day, so a series of any length is
-    spread over its days; only the stored-order check needs whole series.
+    spread over its days. ``place`` names the stored order of rows (see
+    ``stored_order``); without it that check sees nothing.
     """
     keys = list(by)
     per_day = SESSION_MINUTES // interval_minutes
     has_oi, has_volume = "open_interest" in bars.columns, "volume" in bars.columns
-    seen = steps(bars, keys, ordinal)
+    seen = steps(bars, keys)
     one = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     zero = F.lit(0).cast("long")
     by_time = seen.groupBy(*keys, "timestamp").agg(
@@ -67,26 +80,34 @@ def validate_bars(bars: DataFrame, interval_minutes: int = 1, by: Sequence[str]
         (one(F.col("open_interest") < 0) if has_oi else F.sum(zero)).alias("neg_oi"),
         (one(F.col("oi_change") > JUMP) if has_oi else F.sum(zero)).alias("jumps"),
         one(F.col("step_seconds") != 60).alias("gaps"),
-        (one(F.col("goes_back")) if ordinal else F.sum(zero)).alias("back"),
     )
-    totals = ["off_session", "broken", "neg_volume", "no_volume", "neg_oi", "jumps", "gaps", "back"]
+    totals = ["off_session", "broken", "neg_volume", "no_volume", "neg_oi", "jumps", "gaps"]
     by_day = by_time.groupBy(*keys, F.to_date("timestamp").alias("__day")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("dups"), *[F.sum(c).alias(c) for c in totals])
     whole = by_day.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("days"), F.count_if(F.col("n") != per_day).alias("off_days"), F.sum("dups").alias("dups"), *[F.sum(c).alias(c) for c in totals])
+    if place:
+        back = stored_order(bars, place, keys)
+        whole = whole.join(back, keys) if keys else whole.crossJoin(back)
+    else:
+        whole = whole.withColumn("back", zero)
     missing = F.greatest(F.lit(0), F.col("days") * per_day - F.col("n"))
     no_gaps = F.col("gaps") + missing if interval_minutes == 1 else F.lit(0)
     fail = lambda c: F.when(c > 0, "fail").otherwise("pass")
     warn = lambda c: F.when(c > 0, "warn").otherwise("pass")
+    count = lambda c: F.coalesce(c, zero).cast("long")
+    say = lambda text, *values: F.format_string(text, *map(count, values))
+    nothing = F.lit("")
+    gone = say("%d intraday gaps, ~%d missing bars", F.col("gaps"), missing) if interval_minutes == 1 else F.lit("n/a")
     checks = [
-        ("timestamp_monotonic", fail(F.col("back")), F.col("back")),
-        ("no_duplicates", fail(F.col("dups")), F.col("dups")),
-        ("market_hours", fail(F.col("off_session")), F.col("off_session")),
-        ("daily_bar_counts", warn(F.col("off_days")), F.col("off_days")),
-        ("ohlc_integrity", fail(F.col("broken")), F.col("broken")),
-        ("volume_sanity", F.when(F.col("neg_volume") > 0, "fail").otherwise(warn(F.col("no_volume"))), F.col("neg_volume") + F.col("no_volume")),
-        ("open_interest_sanity", F.when(F.col("neg_oi") > 0, "fail").otherwise(warn(F.col("jumps"))), F.col("neg_oi") + F.col("jumps")),
-        ("continuity", warn(no_gaps), no_gaps),
+        ("timestamp_monotonic", fail(F.col("back")), F.col("back"), nothing),
+        ("no_duplicates", fail(F.col("dups")), F.col("dups"), nothing),
+        ("market_hours", fail(F.col("off_session")), F.col("off_session"), nothing),
+        ("daily_bar_counts", warn(F.col("off_days")), F.col("off_days"), say(f"%d day(s) with != {per_day} bars", F.col("off_days"))),
+        ("ohlc_integrity", fail(F.col("broken")), F.col("broken"), nothing),
+        ("volume_sanity", F.when(F.col("neg_volume") > 0, "fail").otherwise(warn(F.col("no_volume"))), F.col("neg_volume") + F.col("no_volume"), say("%d negative, %d zero-volume bars", F.col("neg_volume"), F.col("no_volume"))),
+        ("open_interest_sanity", F.when(F.col("neg_oi") > 0, "fail").otherwise(warn(F.col("jumps"))), F.col("neg_oi") + F.col("jumps"), say("%d negative, %d jumps > 25%%", F.col("neg_oi"), F.col("jumps"))),
+        ("continuity", warn(no_gaps), no_gaps, gone),
     ]
-    table = whole.withColumn("checks", F.array(*[F.struct(F.lit(n).alias("name"), s.alias("status"), F.coalesce(f, zero).cast("long").alias("failures")) for n, s, f in checks]))
+    table = whole.withColumn("checks", F.array(*[F.struct(F.lit(n).alias("name"), s.alias("status"), count(f).alias("failures"), d.alias("details")) for n, s, f, d in checks]))
     states = F.transform("checks", lambda c: c["status"])
     overall = F.when(F.array_contains(states, "fail"), "fail").when(F.array_contains(states, "warn"), "pass_with_warnings").otherwise("pass")
     return table.withColumn("overall", overall).select(*keys, "overall", F.explode("checks").alias("c")).select(*keys, "c.*", "overall")

@@ -22,13 +22,13 @@ def label(minutes: int) -> str:
 
 def validate_month(spark: SparkSession, raw_root: str, month: str, by: Sequence[str] = ()) -> dict:
     """The quality report of a stored month of one-minute bars."""
-    rows = store.read_store(spark, raw_root, month, "1m")
-    return quality_report(rows, f"{month}_1m", by)
+    rows = store.read_store(spark, raw_root, month, "1m", places=True)
+    return quality_report(rows, f"{month}_1m", by, store.PLACE)
 
 
-def quality_report(rows: DataFrame, dataset: str, by: Sequence[str] = (), ordinal: str | None = None) -> dict:
+def quality_report(rows: DataFrame, dataset: str, by: Sequence[str] = (), place: Sequence[str] = ()) -> dict:
     """Checks, totals and overall status as one record; only these few values come to the driver."""
-    checks = quality.validate_bars(rows, 1, by, ordinal).collect()
+    checks = quality.validate_bars(rows, 1, by, place).collect()
     total, first, last, days = rows.agg(F.count("*"), F.min("timestamp"), F.max("timestamp"), F.countDistinct(F.to_date("timestamp"))).first()
     return reports.validation_record(dataset, total, first, last, days, [c.asDict() for c in checks])
 
@@ -39,10 +39,11 @@ def process_month(spark: SparkSession, raw_root: str, processed_root: str, month
     Returns bars by timeframe, the validation status and the verification
     status of each derived timeframe. Partitions of the month are replaced.
     """
-    raw = store.read_store(spark, raw_root, month, "1m").drop("month", "tf")
+    stored = store.read_store(spark, raw_root, month, "1m", places=True)
+    raw = stored.drop("month", "tf", *store.PLACE)
     if raw.isEmpty():
         raise FileNotFoundError(f"no raw bars for {month} at {raw_root}")
-    report = quality_report(raw, f"{month}_1m", by)
+    report = quality_report(stored, f"{month}_1m", by, store.PLACE)
     if report["overall_status"] == "fail":
         raise RuntimeError(f"validation failed for {month}: {report['errors']}")
     out: dict = {"validation": report["overall_status"], "verification": {}}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.schemas import BacktestConfig, StrategyConfig
+from tidemark.functions.schemas import BacktestConfig, StrategyConfig, versions
 from tidemark.operators import backtest, research, signals
 from tidemark.plans import reports
 from tidemark.sources import candles as store
@@ -54,7 +54,7 @@ def write_backtest(spark: SparkSession, processed: str, results: str, month: str
     trades, equity, found = backtest.run_backtest(signals_of(spark, processed, month, timeframe, config), run, BY)
     save(trades, f"{results}/{month}/trades_{timeframe}")
     save(equity, f"{results}/{month}/equity_{timeframe}")
-    records = reports.plain([r.asDict() for r in found.collect()])
+    records = reports.records(found)
     write_text(spark, f"{results}/{month}/metrics_{timeframe}.json", reports.dumps(records))
     return records
 
@@ -64,12 +64,13 @@ def write_baseline(spark: SparkSession, processed: str, results: str, month: str
     rows = store.read_store(spark, processed, month).where(F.col("tf").isin(*timeframes)).withColumnRenamed("tf", "timeframe")
     trades, found = research.run_baseline(rows, by=(*BY, "timeframe"), backtest_config=run)
     save(trades, f"{results}/{month}/baseline/trades")
-    records = reports.plain([r.asDict() for r in found.collect()])
+    records = reports.records(found)
     digests = {v: c.digest() for v, c in research.baseline_variants()}
     assumptions = {"execution": "next bar's open", "slippage": run.slippage.mode, "lot_size": run.lot_size, "position_size": run.position_size, "initial_capital": run.initial_capital}
-    record = {"period": month, "experiment_count": len(records), "assumptions": assumptions, "experiments": [{**r, "config_hash": digests[r["variant"]]} for r in records], "comparison_table": reports.comparison(records)}
+    experiments = [{**r, "config_hash": digests[r["variant"]]} for r in records]
+    record = {"period": month, **versions(month), "experiment_count": len(records), "assumptions": assumptions, "experiments": experiments, "comparison_table": reports.comparison(records)}
     write_text(spark, f"{results}/{month}/baseline_comparison.json", reports.dumps(record))
-    write_text(spark, f"{results}/{month}/baseline_report.md", reports.baseline_markdown(month, month, records, assumptions))
+    write_text(spark, f"{results}/{month}/baseline_report.md", reports.baseline_markdown(month, month, records, assumptions, experiments, f"{results}/{month}"))
     return record
 
 

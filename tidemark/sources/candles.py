@@ -65,14 +65,21 @@ def download(spark: SparkSession, fetch: Callable[[], Sequence], contract: Mappi
 
 
 def write_store(candles: DataFrame, root: str, timeframe: str = "1m") -> None:
-    """Candles by month and timeframe; the partitions written replace those that were there."""
+    """Candles by month and timeframe, files and rows in order of time; the partitions written replace those that were there."""
     rows = candles.withColumns({"month": F.date_format("timestamp", "yyyy-MM"), "tf": F.lit(timeframe)})
-    rows.sortWithinPartitions("timestamp").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "tf").parquet(root)
+    rows = rows.repartitionByRange("timestamp").sortWithinPartitions("month", "tf", "timestamp")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "tf").parquet(root)
 
 
-def read_store(spark: SparkSession, root: str, month: str | None = None, timeframe: str | None = None) -> DataFrame:
-    """Stored candles; month and timeframe prune partitions."""
-    rows = spark.read.option("basePath", root).parquet(root).withColumn("month", F.col("month").cast("string"))
+PLACE = ("__file", "__row")
+
+
+def read_store(spark: SparkSession, root: str, month: str | None = None, timeframe: str | None = None, places: bool = False) -> DataFrame:
+    """Stored candles; month and timeframe prune partitions. With ``places`` also PLACE, each row's file and number in it."""
+    rows = spark.read.option("basePath", root).parquet(root)
+    if places:
+        rows = rows.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+    rows = rows.withColumn("month", F.col("month").cast("string"))
     rows = rows if month is None else rows.where(F.col("month") == month)
     return rows if timeframe is None else rows.where(F.col("tf") == timeframe)
 

@@ -17,6 +17,11 @@ def read_csv_master(spark: SparkSession, path: str) -> DataFrame:
     return lower_names(spark.read.csv(path, header=True))
 
 
+def csv_master(spark: SparkSession, text: str) -> DataFrame:
+    """The same from a fetched text (``requests.master_text``); masters are small."""
+    return lower_names(spark.read.csv(spark.sparkContext.parallelize(text.splitlines(), 1), header=True))
+
+
 def read_json_master(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array or lines of objects; gzip goes by the file's ending. An epoch ``expiry`` becomes a date."""
     rows = lower_names(spark.read.json(path, multiLine=True))
