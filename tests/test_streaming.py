@@ -70,3 +70,73 @@ def test_messages_round_trip_and_kafka_options(spark):
     assert (back.instrument, back.price, back.quantity) == ("A", 10.5, 3)
     assert streaming.kafka_options("h:1", streaming.topics()["ticks"], 5)["startingTimestamp"] == "5"
     assert streaming.kafka_options("h:1", "t")["startingOffsets"] == "latest"
+
+
+def tick_client(options, position):
+    """Three envelopes a call, nine in all."""
+    if position >= 9:
+        return [], position
+    rows = [{"event_id": f"e{i}", "event_type": "tick", "source": "here", "ts": f"2026-07-01T09:15:{5 * i:02d}Z", "payload": json.dumps({"instrument": "A", "price": 100.0 + i, "quantity": 1})} for i in range(position, position + 3)]
+    return rows, position + 3
+
+
+def test_tick_source_reads_and_reads_again():
+    from tidemark.streaming.ticks import TickSource
+
+    reader = TickSource({"client": "tests.test_streaming:tick_client"}).simpleStreamReader(None)
+    first, after = reader.read(reader.initialOffset())
+    second, end = reader.read(after)
+    again = list(reader.readBetweenOffsets({"position": 0}, end))
+    assert again == [*first, *second] and end == {"position": 6} and json.loads(again[0][0])["event_id"] == "e0"
+    assert list(reader.read({"position": 9})[0]) == []
+
+
+def test_heartbeats_and_topic_writer(spark, tmp_path):
+    from tidemark.streaming import ticks as live
+
+    rows = [(json.dumps(x),) for x in tick_client({}, 0)[0] + tick_client({}, 3)[0] + tick_client({}, 6)[0]]
+    counted = live.heartbeats(spark.createDataFrame(rows, "value string"), 20).orderBy("at").collect()
+    assert [(r.source, r.events) for r in counted] == [("here", 4), ("here", 4), ("here", 1)]
+    spark.createDataFrame(rows, "value string").write.parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema("value string").parquet(str(tmp_path / "m"))
+    assert live.to_topic(stream.selectExpr("value AS key", "value"), "h:1", "market.ticks", str(tmp_path / "c")) is not None
+
+
+def portfolio(spark, tmp_path, rows, **kw):
+    from tidemark.streaming import paper
+
+    path = str(tmp_path / f"signals{len(list(tmp_path.iterdir()))}")
+    frame = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    frame.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(frame.schema).parquet(path)
+    return {(r.instrument, r.timestamp): r for r in run(spark, paper.stream_portfolio(stream, **kw))}
+
+
+def test_paper_portfolio_equals_the_backtest(spark, tmp_path):
+    from tidemark.functions.schemas import NORMAL_SLIPPAGE, BacktestConfig
+    from tidemark.streaming.paper import Limits
+
+    df = closes(spark, wave(300)).unionByName(closes(spark, [x * 1.1 + (i % 7) for i, x in enumerate(wave(300))], instrument="B"))
+    rows = signals.generate_signals(df, StrategyConfig(signal_mode=MODES[0]), keep=("open", "close"))
+    config = BacktestConfig(slippage=NORMAL_SLIPPAGE)
+    got = portfolio(spark, tmp_path, rows, config=config, limits=Limits(max_trades=10**6, max_loss=1e12, max_losses_in_a_row=10**6, session=None))
+    trades, equity, _ = backtest.run_backtest(rows, config)
+    curve = equity.collect()
+    assert len(got) == len(curve) == 600
+    assert all(abs(got[r.instrument, r.timestamp].equity - r.equity) < 600 and abs(got[r.instrument, r.timestamp].realized - r.realized) < 1e-6 for r in curve)
+    nets = sorted(round(r.net_pnl, 6) for r in got.values() if r.net_pnl is not None)
+    assert nets == sorted(round(t.net_pnl, 6) for t in trades.where("closed_at_end = 0").collect()) != []
+
+
+def test_paper_orders_are_refused(spark, tmp_path):
+    from tidemark.functions.schemas import BacktestConfig
+    from tidemark.streaming.paper import Limits
+
+    kinds = {3: "BUY", 6: "SELL", 9: "BUY", 12: "SELL", 15: "BUY", 18: "SELL"}
+    rows = spark.createDataFrame([("A", START + dt.timedelta(minutes=i), 100.0 - i, 100.0 - i, kinds.get(i, "HOLD")) for i in range(25)], "instrument string, timestamp timestamp_ntz, open double, close double, signal_type string")
+    said = lambda **kw: [r.refused for _, r in sorted(portfolio(spark, tmp_path, rows, **kw).items()) if r.refused]
+    assert said(limits=Limits(max_trades=2)) == ["trades", "trades"]
+    assert said(limits=Limits(max_loss=100.0)) == ["loss"] * 4
+    assert said(limits=Limits(max_losses_in_a_row=2)) == ["losses", "losses"]
+    assert said(config=BacktestConfig(position_size=9)) == ["lots"] * 6
+    assert said(limits=Limits(session=(0, 5))) == ["session"] * 6
