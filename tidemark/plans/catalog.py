@@ -72,8 +72,8 @@ def ohlcv_4h_from_1h(spark, sf_dir):
 @query("verify_rollup", o.with_(o.bars(60), o.rollup("bars", 240, "up"), """sizes AS (SELECT instrument, epoch(timestamp)::BIGINT // 14400 AS b, count(*) AS n, sum(volume) AS v, min(timestamp) AS t0, max(timestamp) AS t1 FROM bars GROUP BY 1, 2),
 l AS (SELECT instrument, count(*) FILTER (WHERE n <> 240) AS off_sized, sum(v) AS v, min(t0) AS t0, max(t1) AS t1 FROM sizes GROUP BY 1),
 d AS (SELECT instrument, sum(volume) AS v, count(*) FILTER (WHERE high < low OR high < open OR high < close OR low > open OR low > close) AS bad, count(*) FILTER (WHERE (hour(timestamp) * 60 + minute(timestamp)) % 240 <> 0) AS off_grid, min(timestamp) AS t0, max(timestamp) AS t1 FROM up GROUP BY 1),
-c AS (SELECT instrument, 'bucket_size' AS name, 'warn' AS s, off_sized AS f FROM l UNION ALL SELECT instrument, 'volume_sum', 'fail', abs(l.v - d.v) FROM l JOIN d USING (instrument) UNION ALL SELECT instrument, 'ohlc_integrity', 'fail', bad FROM d UNION ALL SELECT instrument, 'boundary_alignment', 'fail', off_grid FROM d
-  UNION ALL SELECT instrument, 'edge_alignment', 'fail', (NOT (l.t0 = d.t0 AND epoch(l.t1) - epoch(d.t1) < 14400))::INT FROM l JOIN d USING (instrument))""") + " SELECT instrument, name, CASE WHEN f = 0 THEN 'pass' ELSE s END AS status, f::BIGINT AS failures FROM c")
+c AS (SELECT instrument, 'bucket_size' AS name, 'warn' AS s, off_sized AS f, off_sized || ' bucket(s) not containing exactly 240 bars' AS details FROM l UNION ALL SELECT instrument, 'volume_sum', 'fail', abs(l.v - d.v), '1m=' || l.v || ' vs 240m=' || d.v FROM l JOIN d USING (instrument) UNION ALL SELECT instrument, 'ohlc_integrity', 'fail', bad, bad || ' violations' FROM d UNION ALL SELECT instrument, 'boundary_alignment', 'fail', off_grid, off_grid || ' timestamp(s) off a 240-minute wall-clock grid' FROM d
+  UNION ALL SELECT instrument, 'edge_alignment', 'fail', (NOT (l.t0 = d.t0 AND epoch(l.t1) - epoch(d.t1) < 14400))::INT, 'first=' || CASE WHEN l.t0 = d.t0 THEN 'True' ELSE 'False' END || ', last_within=' || CASE WHEN epoch(l.t1) - epoch(d.t1) < 14400 THEN 'True' ELSE 'False' END FROM l JOIN d USING (instrument))""") + " SELECT instrument, name, CASE WHEN f = 0 THEN 'pass' ELSE s END AS status, f::BIGINT AS failures, details FROM c")
 def verify_rollup(spark, sf_dir):
     hourly = event_bars(spark, sf_dir)
     return bars.verify_rollup(hourly, bars.aggregate_bars(hourly, 240), 240, (KEY,))
@@ -220,14 +220,33 @@ MINUTES = (o.bars(1), "m AS (SELECT *, round(close * 10)::BIGINT AS open_interes
 OFF = "hour(timestamp) * 60 + minute(timestamp) < 555 OR hour(timestamp) * 60 + minute(timestamp) >= 930"
 
 
-@query("validation_checks", o.with_(*MINUTES, f"""s AS (SELECT instrument, count(*) AS n, count(*) FILTER (WHERE {OFF}) AS off, count(*) FILTER (WHERE high < low OR high < open OR high < close OR low > open OR low > close OR open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS bad,
-  count(*) FILTER (WHERE volume < 0) AS negv, count(*) FILTER (WHERE volume = 0) AS zerov, count(*) FILTER (WHERE open_interest < 0) AS nego, count(*) FILTER (WHERE abs(open_interest - oi0) / greatest(oi0, 1.0) > 0.25) AS jumps, count(*) FILTER (WHERE epoch(timestamp) - epoch(t0) <> 60) AS gaps FROM m GROUP BY 1),
+def planted(spark, sf_dir):
+    """The minute bars with some twice and some stored too late: ``stored`` is a row's number in its file, ``half`` the file."""
+    rows = minute_bars(spark, sf_dir)
+    minute = F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / 60)
+    rows = rows.withColumn("copy", F.explode(F.when(F.minute("timestamp") == 17, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    stored = (minute + F.when(F.minute("timestamp") == 41, 1000).otherwise(0)) * 2 + F.col("copy")
+    return rows.withColumns({"stored": stored, "half": F.when(F.dayofmonth("timestamp") < 15, "part-0").otherwise("part-1")}).drop("copy")
+
+
+PLANTED = """m AS (SELECT b.*, round(close * 10)::BIGINT AS open_interest, CASE WHEN day(timestamp) < 15 THEN 'part-0' ELSE 'part-1' END AS half, ((epoch(timestamp) // 60)::BIGINT + CASE WHEN minute(timestamp) = 41 THEN 1000 ELSE 0 END) * 2 + copy AS stored FROM bars b, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR minute(timestamp) = 17),
+w AS (SELECT *, lag(timestamp) OVER (PARTITION BY instrument, timestamp::DATE ORDER BY timestamp, stored) AS t0, lag(open_interest) OVER (PARTITION BY instrument, timestamp::DATE ORDER BY timestamp, stored) AS oi0, lag(timestamp) OVER (PARTITION BY instrument ORDER BY half, stored) AS before FROM m)"""
+
+
+@query("validation_checks", o.with_(o.bars(1), PLANTED, f"""s AS (SELECT instrument, count(*) AS n, count(*) FILTER (WHERE before > timestamp) AS back, count(*) FILTER (WHERE {OFF}) AS off, count(*) FILTER (WHERE high < low OR high < open OR high < close OR low > open OR low > close OR open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS bad,
+  count(*) FILTER (WHERE volume < 0) AS negv, count(*) FILTER (WHERE volume = 0) AS zerov, count(*) FILTER (WHERE open_interest < 0) AS nego, count(*) FILTER (WHERE abs(open_interest - oi0) / greatest(oi0, 1.0) > 0.25) AS jumps, count(*) FILTER (WHERE epoch(timestamp) - epoch(t0) <> 60) AS gaps FROM w GROUP BY 1),
+u AS (SELECT instrument, count(*) AS dups FROM (SELECT instrument, timestamp FROM m GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
 d AS (SELECT instrument, count(*) AS days, count(*) FILTER (WHERE n <> 375) AS off_days FROM (SELECT instrument, timestamp::DATE AS d, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1),
-c AS (SELECT instrument, 'timestamp_monotonic' AS name, 'fail' AS s, 0 AS f FROM s UNION ALL SELECT instrument, 'no_duplicates', 'fail', 0 FROM s UNION ALL SELECT instrument, 'market_hours', 'fail', off FROM s UNION ALL SELECT instrument, 'daily_bar_counts', 'warn', off_days FROM d UNION ALL SELECT instrument, 'ohlc_integrity', 'fail', bad FROM s
-  UNION ALL SELECT instrument, 'volume_sanity', CASE WHEN negv > 0 THEN 'fail' ELSE 'warn' END, negv + zerov FROM s UNION ALL SELECT instrument, 'open_interest_sanity', CASE WHEN nego > 0 THEN 'fail' ELSE 'warn' END, nego + jumps FROM s UNION ALL SELECT instrument, 'continuity', 'warn', gaps + greatest(0, days * 375 - n) FROM s JOIN d USING (instrument)),
-t AS (SELECT instrument, name, CASE WHEN f = 0 THEN 'pass' ELSE s END AS status, f::BIGINT AS failures FROM c)""") + " SELECT t.*, CASE WHEN bool_or(status = 'fail') OVER (PARTITION BY instrument) THEN 'fail' WHEN bool_or(status = 'warn') OVER (PARTITION BY instrument) THEN 'pass_with_warnings' ELSE 'pass' END AS overall FROM t")
+c AS (SELECT instrument, 'timestamp_monotonic' AS name, 'fail' AS s, back AS f, '' AS details FROM s UNION ALL SELECT instrument, 'no_duplicates', 'fail', coalesce(dups, 0), '' FROM s LEFT JOIN u USING (instrument) UNION ALL SELECT instrument, 'market_hours', 'fail', off, '' FROM s UNION ALL SELECT instrument, 'daily_bar_counts', 'warn', off_days, off_days || ' day(s) with != 375 bars' FROM d UNION ALL SELECT instrument, 'ohlc_integrity', 'fail', bad, '' FROM s
+  UNION ALL SELECT instrument, 'volume_sanity', CASE WHEN negv > 0 THEN 'fail' ELSE 'warn' END, negv + zerov, negv || ' negative, ' || zerov || ' zero-volume bars' FROM s UNION ALL SELECT instrument, 'open_interest_sanity', CASE WHEN nego > 0 THEN 'fail' ELSE 'warn' END, nego + jumps, nego || ' negative, ' || jumps || ' jumps > 25%' FROM s UNION ALL SELECT instrument, 'continuity', 'warn', gaps + greatest(0, days * 375 - n), gaps || ' intraday gaps, ~' || greatest(0, days * 375 - n) || ' missing bars' FROM s JOIN d USING (instrument)),
+t AS (SELECT instrument, name, CASE WHEN f = 0 THEN 'pass' ELSE s END AS status, f::BIGINT AS failures, details FROM c)""") + " SELECT t.*, CASE WHEN bool_or(status = 'fail') OVER (PARTITION BY instrument) THEN 'fail' WHEN bool_or(status = 'warn') OVER (PARTITION BY instrument) THEN 'pass_with_warnings' ELSE 'pass' END AS overall FROM t")
 def validation_checks(spark, sf_dir):
-    return quality.validate_bars(minute_bars(spark, sf_dir), 1, (KEY,))
+    return quality.validate_bars(planted(spark, sf_dir), 1, (KEY,), ("half", "stored"))
+
+
+@query("stored_order", o.with_(o.bars(1), PLANTED) + " SELECT instrument, count(*) FILTER (WHERE before > timestamp) AS back FROM w GROUP BY 1")
+def stored_order(spark, sf_dir):
+    return quality.stored_order(planted(spark, sf_dir), ("half", "stored"), (KEY,))
 
 
 @query("duplicates", "SELECT user_id, time_bucket(INTERVAL '60 minutes', ts) AS timestamp, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
@@ -314,11 +333,17 @@ CONFIG_VALUES = ", ".join(f"('{i}', {c.fast_ema}, {c.slow_ema}, {o.num(c.angle_t
 CFG = f"cfg(experiment_id, fast_ema, slow_ema, angle_threshold, angle_lookback) AS (VALUES {CONFIG_VALUES})"
 
 
-@query("param_grid", f"WITH {CFG} SELECT * FROM cfg")
+@query("param_grid", """WITH f AS (SELECT DISTINCT r_regionkey * 4 + 5 AS fast_ema FROM region), s AS (SELECT DISTINCT n_regionkey * 4 + 12 AS slow_ema FROM nation), t(angle_threshold) AS (VALUES (20.0::DOUBLE), (30.0::DOUBLE)), l AS (SELECT DISTINCT l_linenumber AS angle_lookback FROM lineitem),
+v AS (SELECT * FROM f, s, t, l WHERE fast_ema < slow_ema)
+SELECT printf('RE-%04d', row_number() OVER (ORDER BY fast_ema, slow_ema, angle_threshold, angle_lookback)) AS experiment_id, fast_ema::BIGINT AS fast_ema, slow_ema::BIGINT AS slow_ema, angle_threshold, angle_lookback::BIGINT AS angle_lookback FROM v""")
 def param_grid(spark, sf_dir):
-    """The valid combinations as a table."""
-    rows = [(i, c.fast_ema, c.slow_ema, c.angle_threshold, c.angle_lookback) for i, c in CONFIGS]
-    return spark.createDataFrame(rows, "experiment_id string, fast_ema int, slow_ema int, angle_threshold double, angle_lookback int")
+    """The valid combinations of values that stand in tables."""
+    values = lambda name, value: table(spark, sf_dir, name).agg(F.array_sort(F.collect_set(value.cast("long"))).alias("v"))
+    columns = {"fast_ema": values("region", F.col("r_regionkey") * 4 + 5), "slow_ema": values("nation", F.col("n_regionkey") * 4 + 12), "angle_lookback": values("lineitem", F.col("l_linenumber"))}
+    axes = spark.range(1).select(F.array(F.lit(20.0), F.lit(30.0)).alias("angle_threshold"))
+    for name, found in columns.items():
+        axes = axes.crossJoin(found.withColumnRenamed("v", name))
+    return research.grid_table(axes)
 
 
 GRID_KEYS = "experiment_id, instrument"
@@ -369,9 +394,7 @@ STEP_ROWS = """steps AS (SELECT (n + 1)::INTEGER AS step, d0::TIMESTAMP AS train
 
 @query("walk_windows", f"WITH {SPAN}, {STEP_ROWS} SELECT * FROM steps")
 def walk_windows(spark, sf_dir):
-    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
-    rows = [(n, *w) for n, w in enumerate(research.walk_windows(first.date(), last.date()), 1)]
-    return spark.createDataFrame(rows, "step int, train_start timestamp_ntz, train_end timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz")
+    return research.walk_windows(table(spark, sf_dir, "events").select(F.col("ts").alias("timestamp")))
 
 
 WALK_KEYS, WALK_SERIES = "experiment_id, step, instrument", "step, instrument"
