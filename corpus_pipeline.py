@@ -62,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; scratch tables go with their stage, the stages' tables with the last one."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    *first, (last, final) = STAGES
+    with common.scope(spark):
+        for name, stage in first:
+            with common.scope(spark):
+                docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        return common.written(final(spark, docs, sf_dir), f"pipeline-{last}", keep=True)
