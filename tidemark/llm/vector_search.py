@@ -137,8 +137,10 @@ class Scan:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, borders: np.ndarray, k: int):
         self.ids, self.queries, self.size, self.k = ids, queries, np.abs(queries), k
-        with np.errstate(over="ignore"):
-            self.middle, self.half = borders[:, :-1] / 2 + borders[:, 1:] / 2, borders[:, 1:] / 2 - borders[:, :-1] / 2
+        # components are integers, so a cell ends one below the next one's border
+        low = borders[:, :-1]
+        high = np.maximum(low, np.concatenate((borders[:, 1:-1] - 1, borders[:, -1:]), axis=1))
+        self.middle, self.half = low / 2 + high / 2, high / 2 - low / 2
         self.best = np.full((len(ids), k), -np.inf)
         self.order = np.argsort(ids)
         self.found: list[tuple[np.ndarray, ...]] = []
