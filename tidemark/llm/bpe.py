@@ -23,7 +23,9 @@ Nothing crosses rows: a document is encoded where it is read.
 
 Defined cases: null is the empty text, which has no tokens; lone surrogates
 cannot occur in Spark's UTF-8 strings; strings of special tokens are ordinary
-text.
+text; very long texts are whole, in one worker; repeated rows are encoded each;
+columns named ids, n_tokens or decoded are replaced, others kept; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import common
 
-LEAF = 8192
+LEAF = 512
 MATCH_LEAF = 1024
 WINDOW = 16
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
