@@ -2,7 +2,7 @@ from collections import Counter
 
 import tiktoken
 
-from tidemark.llm import bpe, token_ledger
+from tidemark.llm import bpe, common, token_ledger
 from tidemark.llm.token_ledger import TokenLedger
 
 SCHEMA = "source string, lang string, tokenizer string, sign int, n_tokens long"
@@ -33,13 +33,38 @@ def test_inserts_deletes_revisions_and_repeated_batches(spark):
 
 
 def test_unfinished_batch_is_not_counted(spark):
-    from tidemark.llm import common
+    ledger = TokenLedger(spark)
+    rows = spark.createDataFrame([("a", "en", "t", 1, 2)], SCHEMA)
+    rows.write.parquet(f"{ledger.path}/aside-died")
+    assert totals(ledger) == {} and ledger.commit(0, rows)
+    assert totals(ledger) == {("a", "en", "t"): (1, 2)}
 
+
+def test_of_two_writers_one_commits(spark, monkeypatch):
     ledger = TokenLedger(spark)
-    ledger.commit(0, spark.createDataFrame([("a", "en", "t", 1, 2)], SCHEMA))
-    common.remove(spark, f"{ledger.path}/batch-0/_SUCCESS")
-    assert totals(ledger) == {}
-    ledger.commit(0, spark.createDataFrame([("a", "en", "t", 1, 2)], SCHEMA))
+    rows = spark.createDataFrame([("a", "en", "t", 1, 2)], SCHEMA)
+    monkeypatch.setattr(ledger, "holds", lambda batch: False)
+    assert [ledger.commit(0, rows) for _ in range(3)] == [True, False, False]
+    assert totals(ledger) == {("a", "en", "t"): (1, 2)}
+    assert [n for n in common.list_names(spark, ledger.path) if not n.startswith(".")] == ["batch-0"]
+
+
+def test_totals_outlive_a_compaction(spark):
+    ledger = TokenLedger(spark)
+    for batch in range(3):
+        ledger.commit(batch, spark.createDataFrame([("a", "en", "t", 1, batch)], SCHEMA))
+    before = ledger.totals()
+    ledger.compact()
+    assert [tuple(r) for r in before.collect()] == [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "t", 3, 3)]
+    ledger.commit(3, spark.createDataFrame([("b", "en", "t", 1, 1)], SCHEMA))
+    ledger.compact()
+    names = {n for n in common.list_names(spark, ledger.path) if n.split("-")[0] in ("batch", "snapshot")}
+    assert names == {"snapshot-2", "snapshot-3", "batch-3"} and len(totals(ledger)) == 2
+
+
+def test_clashing_columns_take_no_part(spark):
+    ledger = TokenLedger(spark)
+    ledger.commit(0, spark.createDataFrame([("a", "en", "t", 1, 2, 9, "x")], SCHEMA + ", n_docs long, text string"))
     assert totals(ledger) == {("a", "en", "t"): (1, 2)}
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +111,21 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames a folder in one step; False if ``to`` is there already."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    nothing = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(at, jvm.org.apache.hadoop.fs.Path(to), nothing)
+    except Py4JJavaError as error:
+        if exists(spark, to):
+            return False
+        raise error
+    return True
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     fs, at = filesystem(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []

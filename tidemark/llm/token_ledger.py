@@ -7,18 +7,24 @@ holds, so totals are additive and a batch is small whatever its size. Sums are
 partial before the shuffle; a source with a third of all rows is one row of
 each task.
 
-A batch number is committed at most once: its folder counts when the writer
-has put ``_SUCCESS`` there, and is then left alone; a batch that died half way
-is overwritten when it comes again. Compaction folds the batches up to a number
-into a snapshot whose name says how far it reaches, and drops what it covers.
-
-Defined cases: null source, language or tokenizer is a key of its own; null
+A batch number is committed at most once: its sums are written aside and moved to
+the batch's name, which fails if that is taken, so of two writers of one batch one
+commits; a batch that died half way is written again when it comes again.
+Compaction folds the batches up to a number into a snapshot whose name says how
+far it reaches. What a snapshot covers is removed by the compaction after it, so
+totals read before a compaction can still be run.
+
+Defined cases: very long texts are counted whole; columns other than the keys and
+the text take no part, whatever their names; repeated rows count each; an empty
+ledger has no totals; null source, language or tokenizer is a key of its own; null
 text has no tokens; a key whose documents sum to zero vanishes from the totals,
 unless its tokens don't.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +57,21 @@ class TokenLedger:
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Adds the signed rows of batch ``batch`` (0, 1, ...); False if it is there already."""
+        if batch < 0:
+            raise ValueError("batches are numbered from 0")
         if self.holds(batch):
             return False
         summed = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
-        return True
+        return self._publish(summed, f"batch-{batch}")
+
+    def _publish(self, rows: DataFrame, name: str) -> bool:
+        """Writes ``rows`` aside and moves them to ``name``; False if that has been taken meanwhile."""
+        aside = f"{self.path}/aside-{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        moved = common.move(self.spark, aside, f"{self.path}/{name}")
+        if not moved:
+            common.remove(self.spark, aside)
+        return moved
 
     def _sum(self, upto: int, after: list[int]) -> DataFrame:
         paths = [f"{self.path}/snapshot-{upto}"] * (upto >= 0) + [f"{self.path}/batch-{b}" for b in after]
@@ -68,13 +84,15 @@ class TokenLedger:
         return self._sum(*self._state())
 
     def compact(self) -> None:
-        """Folds the batches that follow the snapshot without a gap into a new one."""
+        """Folds the batches that follow the snapshot without a gap into a new one, and removes what the old one covers."""
         upto, after = self._state()
         run = [b for i, b in enumerate(after) if b == upto + 1 + i]
-        if run:
-            self._sum(upto, run).write.mode("overwrite").parquet(f"{self.path}/snapshot-{run[-1]}")
-            for name in [f"snapshot-{upto}"] * (upto >= 0) + [f"batch-{b}" for b in run]:
-                common.remove(self.spark, f"{self.path}/{name}")
+        if not run:
+            return
+        covered = [f"batch-{b}" for b in self._committed("batch") if b <= upto] + [f"snapshot-{b}" for b in self._committed("snapshot") if b < upto]
+        self._publish(self._sum(upto, run), f"snapshot-{run[-1]}")
+        for name in covered:
+            common.remove(self.spark, f"{self.path}/{name}")
 
 
 def counted(df: DataFrame, vocabularies: dict[str, str], pattern: str, text_col: str = "text") -> DataFrame:
