@@ -71,6 +71,33 @@ def test_item_deep_inside_a_very_long_document(docs, items):
     assert found(decontaminate.contained(docs((1, " ".join(words))), items(*bench))) == brute([(1, " ".join(words))], bench)
 
 
+def test_scattered_items_are_found(docs, items):
+    rng = random.Random(12)
+    say = lambda n: [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
+    bench = [(i, " ".join(say(120))) for i in range(40)]
+    rows = []
+    for i, text in bench:
+        own, filler = text.split(), [say(rng.randint(500, 900)) for _ in range(5)]
+        cuts = [own[k : k + 30] for k in range(0, 120, 30)]
+        rows.append((i, " ".join(sum((f + c for f, c in zip(filler, cuts, strict=False)), []) + filler[-1])))
+    expected = brute(rows, bench)
+    assert len(expected) == 40 and found(decontaminate.contained(docs(*rows), items(*bench))) == expected
+
+
+def test_slices_and_classes(docs, items, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE", 64)
+    rows, bench = corpus(21)
+    assert found(decontaminate.contained(docs(*rows), items(*bench))) == brute(rows, bench)
+
+
+def test_an_index_is_built_once_a_worker(monkeypatch):
+    built = []
+    monkeypatch.setattr(decontaminate, "ItemIndex", lambda rows: built.append(len(rows)) or object())
+    monkeypatch.setattr(decontaminate, "_built", {})
+    first = decontaminate.index_of("a", [(1, "x")])
+    assert decontaminate.index_of("a", [(1, "x")]) is first and decontaminate.index_of("b", []) is not first and built == [1, 0]
+
+
 def test_empty_tables(docs, items):
     assert decontaminate.contained(docs((1, "a")), items((1, "a")).where("item_id < 0")).count() == 0
     assert decontaminate.contained(docs((1, "a")).where("doc_id < 0"), items((1, "a"))).count() == 0
