@@ -18,27 +18,39 @@ def _or_zero(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def trade_summary(trades: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
+def _summary() -> list:
     """Counts, sums and means of trades; a trade wins if its net is above 0."""
     win, net, gross = F.col("net_pnl") > 0, F.col("net_pnl"), F.col("gross_pnl")
-    out = trades.groupBy(*by).agg(
+    return [
         F.count("*").alias("total_trades"), F.count_if(win).alias("winning_trades"), F.count_if(~win).alias("losing_trades"), F.avg(win.cast("double")).alias("win_rate"),
         F.sum(gross).alias("gross_pnl"), F.sum(net).alias("net_pnl"), F.avg(net).alias("avg_trade_pnl"),
         F.coalesce(F.avg(F.when(win, net)), F.lit(0.0)).alias("avg_winner"), F.coalesce(F.avg(F.when(~win, net)), F.lit(0.0)).alias("avg_loser"),
         _or_zero(F.coalesce(F.sum(F.when(win, gross)), F.lit(0.0)), F.abs(F.sum(F.when(~win, gross)))).alias("profit_factor"),
         F.avg("holding_periods").alias("avg_holding_periods"), F.avg(net).alias("expectancy"),
-    )
-    return out
+    ]
+
+
+def _streaks() -> list:
+    longest = lambda flag: F.coalesce(F.max(F.when(flag, F.col("__run"))), F.lit(0))
+    return [longest(F.col("net_pnl") > 0).alias("longest_win_streak"), longest(~(F.col("net_pnl") > 0)).alias("longest_loss_streak")]
+
+
+def _with_runs(trades: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Trades with ``__run``, the number of trades of the same outcome in a row up to each."""
+    w = Window.partitionBy(*by).orderBy("trade_id")
+    win = F.col("net_pnl") > 0
+    begins = F.when(F.coalesce(F.lag(win).over(w) != win, F.lit(True)), F.row_number().over(w))
+    return trades.withColumn("__begins", begins).withColumn("__run", F.row_number().over(w) - F.last("__begins", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+
+
+def trade_summary(trades: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
+    """Counts, sums and means of trades; a trade wins if its net is above 0."""
+    return trades.groupBy(*by).agg(*_summary())
 
 
 def streaks(trades: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
     """Longest runs of winning and of losing trades."""
-    w = Window.partitionBy(*by).orderBy("trade_id")
-    rows = trades.select(*by, "trade_id", (F.col("net_pnl") > 0).alias("win"))
-    rows = rows.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*by, "win").orderBy("trade_id")))
-    runs = rows.groupBy(*by, "win", "run").agg(F.count("*").alias("n"))
-    longest = lambda flag: F.coalesce(F.max(F.when(flag, F.col("n"))), F.lit(0))
-    return runs.groupBy(*by).agg(longest(F.col("win")).alias("longest_win_streak"), longest(~F.col("win")).alias("longest_loss_streak"))
+    return _with_runs(trades, by).groupBy(*by).agg(*_streaks())
 
 
 def drawdowns(equity: DataFrame, by: Sequence[str] = ("instrument",)) -> DataFrame:
@@ -96,6 +108,6 @@ def curve_summary(equity: DataFrame, capital: float, by: Sequence[str] = ("instr
 def compute_metrics(trades: DataFrame, equity: DataFrame, capital: float = 1_000_000.0, by: Sequence[str] = ("instrument",)) -> DataFrame:
     """One row for each series of ``equity``; what needs trades is 0 or null where there are none."""
     keys = list(by)
-    out = curve_summary(equity, capital, by).join(trade_summary(trades, by), keys, "left").join(streaks(trades, by), keys, "left")
+    out = curve_summary(equity, capital, by).join(_with_runs(trades, by).groupBy(*by).agg(*_summary(), *_streaks()), keys, "left")
     calmar = F.when(F.col("max_drawdown_pct") > 0, F.try_divide(F.col("total_return_pct") * YEAR_DAYS / F.greatest(F.col("trading_days"), F.lit(1)), F.col("max_drawdown_pct"))).otherwise(0.0)
     return out.fillna(0, [*ZERO_WITHOUT_TRADES]).withColumn("calmar", F.coalesce(calmar, F.lit(0.0)))
