@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's documents. All but the last
 return the columns of documents.
+
+Defined cases, in every stage: a null text is the empty text and stays null; texts
+are whole however long; a document without words is clean, has no line that
+goes and is a near copy of the others without words; rows with equal doc_id and
+text are one document from the near-copy stage on; columns beyond those of
+documents pass through the filters, whatever their names; an empty table gives
+an empty result; without labels no document is toxic, without benchmark none
+goes.
 """
 
 from __future__ import annotations
