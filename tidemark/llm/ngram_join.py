@@ -255,3 +255,19 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select(id_of("doc").alias("doc_id"), id_of("root").alias("class_id"), id_of("node").alias("copy_of"), F.col("n_docs").alias("n_copies"), "n_links", "n_linked_docs")
+
+
+#: All pairs of classes that share a shingle, and the classes reached from each.
+SQL = r"""
+WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT r, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram FROM words),
+sets AS (SELECT r, count(*) AS size, md5(string_agg(gram, chr(10) ORDER BY gram)) AS key FROM grams GROUP BY r),
+classes AS (SELECT key, min(doc_id) AS node, count(*) AS n_copies, min(r) AS r, any_value(size) AS size FROM sets JOIN words USING (r) GROUP BY key),
+own AS (SELECT key, size, gram FROM classes JOIN grams USING (r)),
+pairs AS (SELECT a.key AS a, b.key AS b FROM own a JOIN own b ON a.gram = b.gram AND a.key <> b.key GROUP BY a.key, b.key, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-9),
+links AS (SELECT a AS key, count(*) AS n_links, sum(n_copies) AS n_docs FROM pairs JOIN classes ON classes.key = b GROUP BY a),
+reach(key, other) AS (SELECT a, b FROM pairs UNION SELECT reach.key, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other),
+roots AS (SELECT reach.key, min(node) AS root FROM reach JOIN classes ON classes.key = reach.other GROUP BY reach.key)
+SELECT w.doc_id, least(c.node, coalesce(root, c.node)) AS class_id, c.node AS copy_of, c.n_copies, coalesce(n_links, 0) AS n_links, (coalesce(l.n_docs, 0) + c.n_copies - 1)::BIGINT AS n_linked_docs
+FROM words w JOIN sets s USING (r) JOIN classes c ON c.key = s.key LEFT JOIN links l ON l.key = s.key LEFT JOIN roots ON roots.key = s.key
+"""
