@@ -29,24 +29,42 @@ def ema_name(period: int, source: str = "close") -> str:
     return f"ema_{period}" if source == "close" else f"ema_{source}_{period}"
 
 
-def _fold(history: Column, period: int) -> Column:
+def _step(period: int):
     a = 2.0 / (period + 1)
-    recent = F.slice(history, F.greatest(F.size(history) - reach(period), F.lit(1)), F.lit(reach(period) + 1))
-    return F.aggregate(F.slice(recent, F.lit(2), F.size(recent)), F.element_at(recent, 1), lambda y, x: y * F.lit(1 - a) + x * F.lit(a))
+    return lambda y, x: y * F.lit(1 - a) + x * F.lit(a)
+
+
+def _scan(values: Column, start: Column, period: int) -> Column:
+    """``start`` and the averages after it, one for each of ``values``."""
+    step = _step(period)
+    return F.aggregate(values, F.array(start), lambda so_far, x: F.concat(so_far, F.array(step(F.element_at(so_far, -1), x))))
 
 
 def with_emas(df: DataFrame, periods: Sequence[int], by: Sequence[str], source: str = "close", order: str = "timestamp") -> DataFrame:
     """Adds one EMA column for each period: y0 = x0, then y = (1-a)*y + a*x with a = 2/(period+1).
 
-    The first period-1 rows of a series are null. All periods share one bounded
-    frame of the source column, which holds the seed for the first rows and
-    beyond that all weight a double can tell. The source must not be null.
+    The first period-1 rows of a series are null. A series is cut into chunks of
+    as many rows as the longest average can tell; each chunk runs the recursion
+    once over the chunk before, from its first value, and over its own rows. So a
+    row is visited twice, no array holds more than a chunk, and what is dropped
+    is below double precision. The source must not be null.
     """
-    w = series(by, order)
-    most = max(map(reach, periods))
-    held = df.withColumns({"__history": F.collect_list(source).over(w.rowsBetween(-most, 0)), "__row": F.row_number().over(w)})
-    new = {ema_name(p, source): F.when(F.col("__row") >= p, _fold(F.col("__history"), p)) for p in dict.fromkeys(periods)}
-    return held.withColumns(new).drop("__history", "__row")
+    periods = list(dict.fromkeys(periods))
+    size = max(map(reach, periods)) + 1
+    others = [c for c in df.columns if c not in by]
+    rows = df.withColumn("__row", F.row_number().over(series(by, order)))
+    chunks = rows.groupBy(*by, F.floor((F.col("__row") - 1) / size).alias("__chunk")).agg(F.sort_array(F.collect_list(F.struct("__row", *others))).alias("__rows"))
+    chunks = chunks.withColumn("__x", F.transform("__rows", lambda r: r[source]))
+    chunks = chunks.withColumn("__before", F.lag("__x").over(series(by, "__chunk")))
+    rest = lambda c: F.slice(c, F.lit(2), F.size(c))
+    names = {ema_name(p, source): p for p in periods}
+    for name, p in names.items():
+        carried = F.aggregate(rest(F.col("__before")), F.element_at("__before", 1), _step(p))
+        own = F.when(F.col("__before").isNull(), _scan(rest(F.col("__x")), F.element_at("__x", 1), p)).otherwise(rest(_scan(F.col("__x"), carried, p)))
+        chunks = chunks.withColumn(name, own)
+    each = chunks.select(*by, F.explode(F.arrays_zip("__rows", *names)).alias("__r"))
+    emas = [F.when(F.col("__r.__rows.__row") >= p, F.col(f"__r.{n}")).alias(n) for n, p in names.items()]
+    return each.select(*[F.col(c) if c in by else F.col(f"__r.__rows.{c}").alias(c) for c in df.columns], *emas)
 
 
 def angle(column: str, by: Sequence[str], lookback: int = 1, scale: float = 1000.0, order: str = "timestamp") -> Column:

@@ -82,21 +82,22 @@ def verify_rollup(spark, sf_dir):
 # ---- indicators and signals ----
 
 
-@query("ema_9_15", o.with_(o.bars(60), o.emas("bars", KEY, (9, 15))) + " SELECT instrument, timestamp, close, ema_9, ema_15 FROM ind")
+@query("ema_9_15", o.with_(o.bars(60), o.emas("bars", KEY, (9, 15))) + " SELECT instrument, timestamp, close, round(ema_9, 8) AS ema_9, round(ema_15, 8) AS ema_15 FROM ind")
 def ema_9_15(spark, sf_dir):
-    return indicators.with_emas(event_bars(spark, sf_dir).select(KEY, "timestamp", "close"), (9, 15), (KEY,))
+    rows = indicators.with_emas(event_bars(spark, sf_dir).select(KEY, "timestamp", "close"), (9, 15), (KEY,))
+    return rows.withColumns({c: F.round(c, 8) for c in ("ema_9", "ema_15")})
 
 
-@query("ema_angle", o.with_(o.bars(60), o.emas("bars", KEY, (9,))) + f" SELECT instrument, timestamp, ema_9, round({o.angle('ema_9', KEY, 1, 2.0)}, 6) AS angle_1, round({o.angle('ema_9', KEY, 3, 2.0)}, 6) AS angle_3 FROM ind")
+@query("ema_angle", o.with_(o.bars(60), o.emas("bars", KEY, (9,))) + f" SELECT instrument, timestamp, round(ema_9, 8) AS ema_9, round({o.angle('ema_9', KEY, 1, 2.0)}, 6) AS angle_1, round({o.angle('ema_9', KEY, 3, 2.0)}, 6) AS angle_3 FROM ind")
 def ema_angle(spark, sf_dir):
     rows = indicators.with_emas(event_bars(spark, sf_dir).select(KEY, "timestamp", "close"), (9,), (KEY,))
-    return rows.select(KEY, "timestamp", "ema_9", F.round(indicators.angle("ema_9", (KEY,), 1, 2.0), 6).alias("angle_1"), F.round(indicators.angle("ema_9", (KEY,), 3, 2.0), 6).alias("angle_3"))
+    return rows.select(KEY, "timestamp", F.round("ema_9", 8).alias("ema_9"), F.round(indicators.angle("ema_9", (KEY,), 1, 2.0), 6).alias("angle_1"), F.round(indicators.angle("ema_9", (KEY,), 3, 2.0), 6).alias("angle_3"))
 
 
 def _signals(mode):
     config = StrategyConfig(angle_scale=2.0, signal_mode=mode)
-    sql = o.with_(o.bars(60), o.signals("bars", KEY, config)) + " SELECT instrument, timestamp, signal_type, crossover, ema_9 AS ema_fast, ema_15 AS ema_slow, round(angle, 6) AS angle, close AS candle_close FROM sig"
-    return (lambda spark, sf_dir: r6(signals.generate_signals(event_bars(spark, sf_dir), config), "angle")), sql
+    sql = o.with_(o.bars(60), o.signals("bars", KEY, config)) + " SELECT instrument, timestamp, signal_type, crossover, round(ema_9, 8) AS ema_fast, round(ema_15, 8) AS ema_slow, round(angle, 6) AS angle, close AS candle_close FROM sig"
+    return (lambda spark, sf_dir: r6(signals.generate_signals(event_bars(spark, sf_dir), config), "angle").withColumns({c: F.round(c, 8) for c in ("ema_fast", "ema_slow")})), sql
 
 
 for _name, _mode in zip(("crossover_signals", "signals_angle", "signals_trend"), MODES, strict=True):

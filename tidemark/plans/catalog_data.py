@@ -7,14 +7,16 @@ now); a closed bucket ends before the watermark, two buckets behind the last eve
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import parse_month
 from tidemark.functions.schemas import CANDLES, MODES, NORMAL_SLIPPAGE, BacktestConfig, StrategyConfig, conform, versions
 from tidemark.operators import backtest, bars, contracts, quality, research, risk, signals
-from tidemark.plans import catalog
+from tidemark.plans import catalog, outputs, reports
 from tidemark.plans import oracles as o
 from tidemark.plans.catalog import KEY, OFF, event_bars, query, table
 from tidemark.plans.tools import Tools
@@ -279,6 +281,55 @@ def command_baseline(spark, sf_dir):
     return spark.read.parquet(f"{folder}/baseline/trades").groupBy("variant", KEY).agg(F.count("*").alias("trades"), F.round(F.sum("net_pnl"), 4).alias("net_pnl"))
 
 
+@query("contract_metadata", """SELECT n_nationkey, '{' || chr(10) || '  "expiry": "' || (DATE '2026-07-30' + n_nationkey::INT) || '",' || chr(10) || '  "instrument": "' || n_name || '",' || chr(10) || '  "lot_size": ' || n_regionkey || chr(10) || '}' AS json FROM nation""")
+def contract_metadata(spark, sf_dir):
+    """The metadata text of contracts; the whole nation table, which has a fixed size."""
+    day = dt.date(2026, 7, 30)
+    rows = [(r.n_nationkey, store.contract_json({"lot_size": r.n_regionkey, "instrument": r.n_name, "expiry": day + dt.timedelta(days=int(r.n_nationkey))})) for r in table(spark, sf_dir, "nation").collect()]
+    return spark.createDataFrame(rows, "n_nationkey long, json string")
+
+
+@query("parsed_months", "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m FROM orders")
+def parsed_months(spark, sf_dir):
+    """The months of the orders, read by the tools' parser; there are as many as the calendar has."""
+    months = [r.month for r in table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct().collect()]
+    return spark.createDataFrame([(m, *parse_month(m)) for m in months], "month string, y int, m int")
+
+
+@query("written_metrics", o.with_(*TRADED_15) + """ SELECT instrument, 'win_rate' AS metric, printf('%.1f%%', 100 * win_rate) AS written FROM tm UNION ALL SELECT instrument, 'net_pnl', format('{:,}', round(net_pnl)::BIGINT) FROM tm UNION ALL SELECT instrument, 'profit_factor', printf('%.2f', profit_factor) FROM tm""")
+def written_metrics(spark, sf_dir):
+    """Metrics of each instrument as the reports write them."""
+    found = tools(spark, sf_dir, "15").run_backtest_signals(MONTH, "15m", signal_mode=MODES[0])["metrics"]
+    rows = [(r[KEY], m, reports.shown(m, r[m])) for r in found if r["total_trades"] for m in ("win_rate", "net_pnl", "profit_factor")]
+    return spark.createDataFrame(rows, f"{KEY} string, metric string, written string")
+
+
+def nation_rows(spark, sf_dir):
+    """The nation table as a service's positional rows, one a minute."""
+    return [[f"2024-01-02T09:{15 + r.n_nationkey}:00+05:30", 10.0, 12.0 + r.n_nationkey, 9.0, 11.0, r.n_regionkey, 7] for r in table(spark, sf_dir, "nation").collect()]
+
+
+@query("downloaded_candles", "SELECT TIMESTAMP '2024-01-02 09:15:00' + INTERVAL (n_nationkey) MINUTE AS timestamp, 'NIFTY' AS instrument, 12.0::DOUBLE + n_nationkey AS high, n_regionkey::BIGINT AS volume, 7::BIGINT AS open_interest, '2024-01' AS month, 50::BIGINT AS lot_size FROM nation")
+def downloaded_candles(spark, sf_dir):
+    """A month fetched with a client, normalised and stored, as the download tool leaves it."""
+    made = tools(spark, sf_dir, None)
+    made.raw_root += "-downloaded"
+    contract = {"instrument": "NIFTY", "security_id": "101", "exchange": "NSE", "instrument_type": "FUTIDX", "expiry": dt.date(2024, 1, 25), "lot_size": 50, "tick_size": 0.05}
+    made.download_month_data(MONTH, contract, lambda *asked: nation_rows(spark, sf_dir))
+    return store.read_store(spark, made.raw_root, MONTH, "1m").select("timestamp", KEY, "high", "volume", "open_interest", "month", "lot_size")
+
+
+@query("research_regimes", o.with_(*B15, o.signals("b15", KEY, StrategyConfig()), o.trades("sig", KEY), o.regimes("b15", 0.015, 0.008), "traded AS (SELECT DISTINCT instrument FROM tr)",
+    "f AS (SELECT instrument, regime FROM (SELECT DISTINCT instrument FROM rg), (VALUES ('high'), ('mid'), ('low')) v(regime))", "d AS (SELECT instrument, regime, count(*) AS days FROM rg WHERE instrument IN (FROM traded) GROUP BY 1, 2)",
+    "a AS (SELECT t.instrument, regime, count(*) AS trades FROM tr t JOIN rg ON t.instrument = rg.instrument AND t.entry_time::DATE = rg.day_of GROUP BY 1, 2)") + " SELECT instrument, regime, coalesce(days, 0)::BIGINT AS days, coalesce(trades, 0)::BIGINT AS trades FROM f LEFT JOIN d USING (instrument, regime) LEFT JOIN a USING (instrument, regime)")
+def research_regimes(spark, sf_dir):
+    """The regimes that the research command writes, with a small grid."""
+    made, results = tools(spark, sf_dir, "15"), scratch(spark, "results")
+    found = outputs.write_research(spark, made, results, MONTH, ["15m"], {"fast_ema": (5,), "slow_ema": (15,), "angle_threshold": (20.0,), "angle_lookback": (1,)})
+    rows = [(r[KEY], r["regime"], r["days"], r["trades"]) for r in found["timeframes"]["15m"]["regimes"]]
+    return spark.createDataFrame(rows, f"{KEY} string, regime string, days long, trades long")
+
+
 # ---- streams ----
 
 

@@ -55,7 +55,7 @@ def named(bars: DataFrame) -> DataFrame:
 
 
 SIGNAL_ROWS = "instrument string, timestamp timestamp, signal_type string, ema_fast double, ema_slow double, angle double, candle_close double, position long"
-STATE = "n long, fast double, slow double, recent array<double>, side long"
+STATE = "n long, fast double, slow double, recent array<double>, side long, last timestamp"
 
 
 def stream_signals(bars: DataFrame, config: StrategyConfig = StrategyConfig()) -> DataFrame:
@@ -63,7 +63,8 @@ def stream_signals(bars: DataFrame, config: StrategyConfig = StrategyConfig()) -
 
     ``bars`` is (instrument, timestamp, close) with zoned timestamps, in order of time
     from batch to batch. The same recursion as in batch, so replayed bars give
-    the batch's signals; position is clamp(position + signal).
+    the batch's signals; position is clamp(position + signal). A bar that comes twice
+    or after a later one is passed over, as it would change what has been told.
     """
     import math
 
@@ -72,9 +73,12 @@ def stream_signals(bars: DataFrame, config: StrategyConfig = StrategyConfig()) -
     a, b = 2 / (fast_n + 1), 2 / (slow_n + 1)
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, fast, slow, recent, side = state.get if state.exists else (0, 0.0, 0.0, [], 0)
+        n, fast, slow, recent, side, last = state.get if state.exists else (0, 0.0, 0.0, [], 0, None)
         recent, rows = list(recent), []
         for bar in pd.concat(list(parts)).sort_values("timestamp").itertuples(index=False):
+            if last is not None and bar.timestamp <= pd.Timestamp(last):
+                continue
+            last = bar.timestamp
             before = (fast, slow) if n >= slow_n else None
             fast = bar.close if n == 0 else fast * (1 - a) + bar.close * a
             slow = bar.close if n == 0 else slow * (1 - b) + bar.close * b
@@ -91,7 +95,7 @@ def stream_signals(bars: DataFrame, config: StrategyConfig = StrategyConfig()) -
                 up, down = up and bar.close > slow, down and not bar.close > slow
             side = max(-1, min(1, side + int(up) - int(down)))
             rows.append((key[0], bar.timestamp, "BUY" if up else "SELL" if down else "HOLD", fast if n >= fast_n else None, slow if n >= slow_n else None, angle, bar.close, side))
-        state.update((n, fast, slow, recent, side))
+        state.update((n, fast, slow, recent, side, last))
         yield pd.DataFrame(rows, columns=["instrument", "timestamp", "signal_type", "ema_fast", "ema_slow", "angle", "candle_close", "position"])
 
     return bars.groupBy("instrument").applyInPandasWithState(update, SIGNAL_ROWS, STATE, "append", GroupStateTimeout.NoTimeout)
