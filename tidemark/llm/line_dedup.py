@@ -259,10 +259,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         lines = common.written(doc_lines(df, id_col, text_col, min_chars, batches), "lines", "batch", keep=True)
         runs = runs or LineRuns(spark)
         start = runs.next_batch()
-        for batch in range(batches):
-            runs.add(start + batch, lines.where(F.col("batch") == batch), min_docs, keep_first)
-        frequent = common.written(runs.totals().where(F.col("n_docs") >= min_docs), "frequent-lines", keep=True)
-        runs.close()
+        try:
+            for batch in range(batches):
+                runs.add(start + batch, lines.where(F.col("batch") == batch), min_docs, keep_first)
+            frequent = common.written(runs.totals().where(F.col("n_docs") >= min_docs), "frequent-lines", keep=True)
+        finally:
+            runs.close()
     return drop_lines(df, dropped(lines, frequent, keep_first), id_col, text_col, prefix)
 
 
@@ -275,10 +277,12 @@ def dedup_batch(runs: LineRuns, batch: int, df: DataFrame, id_col: str = "doc_id
     """
     with common.scope(runs.spark):
         lines = common.written(doc_lines(df, id_col, text_col, min_chars), "lines")
-        fresh = runs.unseen(lines).groupBy("doc").agg(F.collect_set("key").alias("keys"))
-        out = common.written(drop_lines(df, fresh, id_col, text_col, stay=min_chars), "deduplicated", keep=True)
-        runs.add(batch, lines)
-        runs.close()
+        try:
+            fresh = runs.unseen(lines).groupBy("doc").agg(F.collect_set("key").alias("keys"))
+            out = common.written(drop_lines(df, fresh, id_col, text_col, stay=min_chars), "deduplicated", keep=True)
+            runs.add(batch, lines)
+        finally:
+            runs.close()
     return out
 
 
