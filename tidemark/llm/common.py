@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import threading
@@ -165,6 +166,15 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system, at the end of a task; workers live on for the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 SLICE_ROWS = 1000
 
 
@@ -179,6 +189,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.Record
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE_ROWS):
                 yield from rows(batch.slice(low, SLICE_ROWS))
+        release()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -187,6 +187,7 @@ def _search(docs: DataFrame, block, out: T.StructType, threshold: float) -> Data
                     hits.append(hit)
             columns = list(zip(*hits, strict=True)) or [[]] * len(HITS)
             yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())).cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+        common.release()
 
     common.ship(docs.sparkSession)
     return docs.mapInArrow(rows, out)
@@ -209,6 +210,7 @@ def _without(docs: DataFrame, block, threshold: float, text_col: str) -> DataFra
             clean = pa.array([not index.search(text, threshold) for text in common.strings(batch.column(at))], pa.bool_())
             kept = batch.filter(clean)
             yield pa.record_batch([c.cast(f.type) for c, f in zip(kept.columns, schema, strict=True)], schema=schema)
+        common.release()
 
     common.ship(docs.sparkSession)
     return docs.mapInArrow(rows, docs.schema)

@@ -42,7 +42,7 @@ from tidemark.llm import common, components, shingles
 from tidemark.llm.common import id_of
 
 TREES, DEPTH = 32, 8
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 DENSE = 1 << 22
 
 SKETCH = T.StructType([T.StructField("doc", T.BinaryType()), T.StructField("set", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())])

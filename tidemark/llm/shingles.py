@@ -18,7 +18,7 @@ import xxhash
 
 WORDS = 5
 PIECE = 1 << 20
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 WHITE = re.compile(r"\s")
 PLACES = np.random.default_rng(11).integers(0, 2**63, WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 1

@@ -61,7 +61,7 @@ KAPPA, Z, DRIFT, E_MAX, THRESHOLD = 4.0, 4.0, 0.5, 1e-2, 0.7
 LIMITS = (-3.0, 8.0)
 MIN_DOCS = 5
 MAX_LABELLED = 40_000
-FLUSH, REMEMBERED = 150_000, 200_000
+FLUSH, REMEMBERED = 100_000, 100_000
 NO_SEGMENT, CERTAIN = -10.0, 40.0
 
 COUNTS = T.StructType([T.StructField("unit", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
@@ -103,6 +103,8 @@ def count_units(docs: DataFrame, allowed=None) -> DataFrame:
                     yield flush(words, n_docs, only)
                     words, n_docs = (Counter(), Counter()), [0, 0]
         yield flush(words, n_docs, only)
+        del words
+        common.release()
 
     common.ship(docs.sparkSession)
     return docs.mapInArrow(rows, COUNTS).groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
