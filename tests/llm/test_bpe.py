@@ -60,3 +60,10 @@ def test_encode_decode_frames(docs):
 def test_empty_table_and_null_ids(docs):
     assert bpe.digests(docs((1, "a")).where("doc_id < 0")).count() == 0
     assert [r.n_tokens for r in bpe.digests(docs((None, "a b"), (None, "a b"))).collect()] == [2, 2]
+
+
+def test_checked_encoding_equals_decoding(docs):
+    rows = [(1, "some words here " * 200), (2, None), (3, ""), (4, "中文 é \U0001f600 <|endoftext|>")]
+    out = bpe.encode(docs(*rows).withColumnRenamed("key", "round_trip"), checked=True)
+    assert [r.round_trip for r in out.collect()] == [True] * 4
+    assert [bytes(r.decoded).decode() for r in bpe.decode(out).collect()] == [t or "" for _, t in rows]

@@ -24,7 +24,7 @@ Nothing crosses rows: a document is encoded where it is read.
 Defined cases: null is the empty text, which has no tokens; lone surrogates
 cannot occur in Spark's UTF-8 strings; strings of special tokens are ordinary
 text; very long texts are whole, in one worker; repeated rows are encoded each;
-columns named ids, n_tokens or decoded are replaced, others kept; an empty table
+columns named ids, n_tokens, round_trip or decoded are replaced where they are added, others kept; an empty table
 gives an empty result.
 """
 
@@ -163,17 +163,26 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The columns of ``df`` and ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``."""
+def encode(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None, checked: bool = False) -> DataFrame:
+    """The columns of ``df`` and ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``.
+
+    ``checked`` adds ``round_trip``: whether the ids, decoded by the same worker, are the text.
+    """
     path, pattern = (path, pattern) if path else default_vocabulary()
-    keep = df.drop(*[n for n, _ in TOKENS])
-    out = T.StructType([*keep.schema.fields, *(T.StructField(n, t) for n, t in TOKENS)])
+    added = [*TOKENS, ("round_trip", T.BooleanType())] if checked else TOKENS
+    keep = df.drop(*[n for n, _ in added])
+    out = T.StructType([*keep.schema.fields, *(T.StructField(n, t) for n, t in added)])
     schema, at = common.arrow_schema(out), keep.columns.index(text_col)
 
     def rows(batch) -> Iterator[pa.RecordBatch]:
-        bpe = tree_bpe(path, pattern)
-        ids = [np.array(bpe.encode(text), "<u4") for text in common.strings(batch.column(at))]
-        new = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+        bpe, ids, sizes, same = tree_bpe(path, pattern), [], [], []
+        for text in common.strings(batch.column(at)):
+            own = bpe.encode(text)
+            ids.append(np.array(own, "<u4").tobytes())
+            sizes.append(len(own))
+            if checked:
+                same.append(bpe.decode(own) == text.encode())
+        new = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int64())] + ([pa.array(same, pa.bool_())] if checked else [])
         yield pa.record_batch([*(c.cast(f.type) for c, f in zip(batch.columns, schema, strict=False)), *new], schema=schema)
 
     return common.map_arrow(keep, rows, out)
