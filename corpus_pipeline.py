@@ -51,10 +51,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents with their token ids, checked by decoding them."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    back = bpe.decode(ids)
-    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", whole.alias("round_trip"))
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), checked=True)
+    return ids.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [
