@@ -7,6 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The texts that say more of a roll-up's check.
+DETAILS = {
+    "bucket_size": "%d bucket(s) not containing exactly %d bars",
+    "volume_sum": "1m=%d vs %dm=%d",
+    "ohlc_integrity": "%d violations",
+    "boundary_alignment": "%d timestamp(s) off a %d-minute wall-clock grid",
+    "edge_alignment": "first=%s, last_within=%s",
+}
+
 OHLCV = ("open", "high", "low", "close", "volume", "open_interest")
 
 
@@ -75,12 +84,13 @@ def verify_rollup(source: DataFrame, derived: DataFrame, minutes: int, by: Seque
     first = F.coalesce(F.col("source_first") == F.col("derived_first"), F.lit(False))
     last = F.coalesce(F.col("source_last") - F.col("derived_last") < size, F.lit(False))
     said = lambda flag: F.when(flag, "True").otherwise("False")
+    say, span = (lambda name, *values: F.format_string(DETAILS[name], *values)), F.lit(minutes)
     checks = [
-        ("bucket_size", F.col("off_sized"), "warn", F.format_string(f"%d bucket(s) not containing exactly {minutes} bars", whole("off_sized"))),
-        ("volume_sum", gap, "fail", F.format_string(f"1m=%d vs {minutes}m=%d", whole("source_volume"), whole("derived_volume"))),
-        ("ohlc_integrity", F.col("violations"), "fail", F.format_string("%d violations", whole("violations"))),
-        ("boundary_alignment", F.col("off_grid"), "fail", F.format_string(f"%d timestamp(s) off a {minutes}-minute wall-clock grid", whole("off_grid"))),
-        ("edge_alignment", F.when(first & last, 0).otherwise(1), "fail", F.format_string("first=%s, last_within=%s", said(first), said(last))),
+        ("bucket_size", F.col("off_sized"), "warn", say("bucket_size", whole("off_sized"), span)),
+        ("volume_sum", gap, "fail", say("volume_sum", whole("source_volume"), span, whole("derived_volume"))),
+        ("ohlc_integrity", F.col("violations"), "fail", say("ohlc_integrity", whole("violations"))),
+        ("boundary_alignment", F.col("off_grid"), "fail", say("boundary_alignment", whole("off_grid"), span)),
+        ("edge_alignment", F.when(first & last, 0).otherwise(1), "fail", say("edge_alignment", said(first), said(last))),
     ]
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.when(F.coalesce(f, F.lit(0)) == 0, "pass").otherwise(s).alias("status"), F.coalesce(f, F.lit(0)).cast("long").alias("failures"), d.alias("details")) for n, f, s, d in checks]))
     return both.select(*keys, rows.alias("c")).select(*keys, "c.*")

@@ -10,6 +10,15 @@ from pyspark.sql.window import Window
 
 from tidemark.operators.bars import broken_ohlc
 
+# The texts that say more of a check.
+DETAILS = {
+    "daily_bar_counts": "%d day(s) with != %d bars",
+    "volume_sanity": "%d negative, %d zero-volume bars",
+    "open_interest_sanity": "%d negative, %d jumps > 25%%",
+    "continuity": "%d intraday gaps, ~%d missing bars",
+}
+NOT_APPLICABLE = "n/a"
+
 SESSION = (9 * 60 + 15, 15 * 60 + 30)
 SESSION_MINUTES = 375
 JUMP = 0.25
@@ -94,17 +103,17 @@ def validate_bars(bars: DataFrame, interval_minutes: int = 1, by: Sequence[str]
     fail = lambda c: F.when(c > 0, "fail").otherwise("pass")
     warn = lambda c: F.when(c > 0, "warn").otherwise("pass")
     count = lambda c: F.coalesce(c, zero).cast("long")
-    say = lambda text, *values: F.format_string(text, *map(count, values))
+    say = lambda name, *values: F.format_string(DETAILS[name], *map(count, values))
     nothing = F.lit("")
-    gone = say("%d intraday gaps, ~%d missing bars", F.col("gaps"), missing) if interval_minutes == 1 else F.lit("n/a")
+    gone = say("continuity", F.col("gaps"), missing) if interval_minutes == 1 else F.lit(NOT_APPLICABLE)
     checks = [
         ("timestamp_monotonic", fail(F.col("back")), F.col("back"), nothing),
         ("no_duplicates", fail(F.col("dups")), F.col("dups"), nothing),
         ("market_hours", fail(F.col("off_session")), F.col("off_session"), nothing),
-        ("daily_bar_counts", warn(F.col("off_days")), F.col("off_days"), say(f"%d day(s) with != {per_day} bars", F.col("off_days"))),
+        ("daily_bar_counts", warn(F.col("off_days")), F.col("off_days"), say("daily_bar_counts", F.col("off_days"), F.lit(per_day))),
         ("ohlc_integrity", fail(F.col("broken")), F.col("broken"), nothing),
-        ("volume_sanity", F.when(F.col("neg_volume") > 0, "fail").otherwise(warn(F.col("no_volume"))), F.col("neg_volume") + F.col("no_volume"), say("%d negative, %d zero-volume bars", F.col("neg_volume"), F.col("no_volume"))),
-        ("open_interest_sanity", F.when(F.col("neg_oi") > 0, "fail").otherwise(warn(F.col("jumps"))), F.col("neg_oi") + F.col("jumps"), say("%d negative, %d jumps > 25%%", F.col("neg_oi"), F.col("jumps"))),
+        ("volume_sanity", F.when(F.col("neg_volume") > 0, "fail").otherwise(warn(F.col("no_volume"))), F.col("neg_volume") + F.col("no_volume"), say("volume_sanity", F.col("neg_volume"), F.col("no_volume"))),
+        ("open_interest_sanity", F.when(F.col("neg_oi") > 0, "fail").otherwise(warn(F.col("jumps"))), F.col("neg_oi") + F.col("jumps"), say("open_interest_sanity", F.col("neg_oi"), F.col("jumps"))),
         ("continuity", warn(no_gaps), no_gaps, gone),
     ]
     table = whole.withColumn("checks", F.array(*[F.struct(F.lit(n).alias("name"), s.alias("status"), count(f).alias("failures"), d.alias("details")) for n, s, f, d in checks]))
