@@ -71,3 +71,19 @@ def test_run_applies_all_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns[0] == "doc_id" and out.where("not round_trip").count() == 0
     assert {r.doc_id % 10 for r in out.where("doc_id < 300").collect()}.isdisjoint({1, 2})
+
+
+def test_run_leaves_only_its_result_in_the_shared_folder(spark, tmp_path):
+    tables(spark, tmp_path)
+    folder = lambda: set(common.list_names(spark, f"{common.shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"))
+    before = folder()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {n.rsplit("-", 1)[0] for n in folder() - before} == {"pipeline-bpe"} and out.count() > 0
+
+
+def test_empty_tables_pass_through(spark, tmp_path):
+    tables(spark, tmp_path)
+    none = tmp_path / "none"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(none / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0

@@ -34,8 +34,8 @@ token scores in thousandths, features in hundredths. Labels, language, source
 and doc_id are never inputs of a score.
 
 Defined cases: very long texts are scanned whole by the worker that reads them;
-columns named score or passages are replaced, others kept; an empty table gives
-an empty result; null text is empty; a text without words gets the score of no
+repeated rows are scored each; columns named score or passages are replaced,
+others kept; an empty table gives an empty result; null text is empty; a text without words gets the score of no
 evidence; null or repeated labels: null is no label, a document with any toxic
 label is toxic; without training labels of both classes every score is 0.5 if
 there are none, else near the class that there is.
