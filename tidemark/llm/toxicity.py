@@ -23,8 +23,8 @@ is significant if its expected count K n exp(-LAMBDA S) is at most E_MAX. A logi
 curve turns the best segment's -ln E and the number of significant segments
 into a probability; it is fitted on labelled documents that gave no counts.
 
-KAPPA, Z and the rest were chosen by cross-validation within the rows that are not
-held out (``choose.py`` in the tests' folder says how).
+KAPPA and Z are cross-validated within the rows that are not held out
+(``tests/llm/choose.py``).
 
 Words of labelled documents come from at most ``max_labelled`` training rows
 (those of least hash; where a doc_id repeats, the text of least hash is the
