@@ -137,6 +137,20 @@ def test_details_of_checks(spark):
     assert said["volume_sum"] == "1m=37500 vs 5m=37500" and said["edge_alignment"] == "first=True, last_within=True"
 
 
+def test_prices_of_zero_fail_unless_they_are_allowed(spark):
+    def change(rows):
+        rows[2][4] = 0.0
+
+    def broken(rows):
+        rows[2][4], rows[3][3] = -1.0, 0.0
+
+    assert validated(spark, session(1, change=change))[1] == "fail"
+    states, overall = validated(spark, session(1, change=change), positive=False)
+    assert states["ohlc_integrity"] == "warn" and overall == "pass_with_warnings"
+    found = checks(quality.validate_bars(candles(spark, session(1, change=broken)), 1, positive=False))
+    assert found["ohlc_integrity"] == ("fail", 2)
+
+
 def test_null_prices_fail(spark):
     def change(rows):
         rows[2][2] = None
