@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--mode", choices=MODES, default=MODES[1])
     top.add_argument("--slippage", choices=["ideal", "normal", "stress", "ticks"], default="ideal")
     top.add_argument("--ticks", type=int, default=1)
+    top.add_argument("--any-sign", action="store_true", help="the series holds values, not prices: those of 0 or less only warn")
     top.add_argument("--client", help="module:function of a download client (security id, first day, last day)")
     top.add_argument("--contract", help="the contract as JSON, for download")
     return top
@@ -37,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, given: Sequence[str]) -> object:
     """Runs one command and returns what it prints."""
     a = parser().parse_args(given)
-    tools = Tools(spark, a.raw, a.processed)
+    tools = Tools(spark, a.raw, a.processed, positive=not a.any_sign)
     labels = [f"{n}m" for n in numbers(a.timeframes)]
     config = StrategyConfig(a.fast, a.slow, a.threshold, a.lookback, signal_mode=a.mode)
     if a.command == "download":
