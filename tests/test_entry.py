@@ -51,7 +51,7 @@ def zeros(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["command_backtest", "command_signals", "tool_backtest", "tool_months", "tool_signals", "command_baseline", "processed_bars", "tool_candles", "tool_process", "tool_walk", "command_process", "research_regimes", "tool_compare", "tool_search", "written_metrics"])
+@pytest.mark.parametrize("name", ["command_backtest", "command_signals", "tool_backtest", "tool_months", "tool_signals", "command_baseline", "processed_bars", "tool_candles", "tool_process", "tool_walk", "command_process", "research_regimes", "tool_compare", "tool_search", "written_metrics", "broken_bars"])
 def test_values_of_zero(spark, zeros, name):
     have, want = against_sql(spark, zeros, name)
     assert have == want and have
